@@ -139,7 +139,7 @@ def test_pii_odd(spark, odd, empty):
 
 
 def test_pii_terms(spark):
-    rows = [(k, f"Notes {chr(97 + k) * 4} say that zanzibar office wrote from boss@corp.example about item {chr(110 + k) * 5} today") for k in range(6)]
+    rows = [(k, f"Notes say that zanzibar office wrote {chr(97 + k) * 12} boss@corp.example {chr(110 + k) * 12} about item today") for k in range(6)]
     rows += [(100 + k, f"Notes {'bcdfghjklm'[k % 10] * 5}{k // 10 * 'q'} office say that nothing about item today was wrote from here") for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     spans = {r.doc_id: r.spans for r in pii.spans(docs).collect()}
@@ -150,7 +150,7 @@ def test_pii_terms(spark):
         assert f"term:{office}:{office + 6}" not in spans[k]
     assert all(spans[100 + k] == "" for k in range(60))
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
-    assert clean[0] == "Notes aaaa say that <TERM> office wrote from <EMAIL> about item nnnnn today" and clean[100] == rows[6][1]
+    assert clean[0] == "Notes say that <TERM> office wrote aaaaaaaaaaaa <EMAIL> nnnnnnnnnnnn about item today" and clean[100] == rows[6][1]
 
 
 def test_quality(spark, texts):
