@@ -37,8 +37,8 @@ BEFORE = LENGTH - GRAM
 HOT = 50_000
 #: Documents the splitters are sampled from, and grams taken of each.
 SAMPLE_DOCS, SAMPLE_GRAMS = 2000, 64
-#: Anchors, or bytes of text, that a task gathers before it passes packed arrays on.
-GATHER, TEXT_BYTES = 2_000_000, 32 << 20
+#: Anchors, bytes of text, or contexts that a task gathers before it passes packed arrays on.
+GATHER, TEXT_BYTES, CONTEXTS = 2_000_000, 32 << 20, 150_000
 
 ANCHOR = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
 PLACE = np.dtype([("doc", "<i8"), ("at", "<u4")])
@@ -399,6 +399,23 @@ def strings(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def context_rows(batches: Iterator[pa.RecordBatch], buckets: int, splitters: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Contexts by range of their leading bytes (kind 3), strings of hot grams by hash (kind 4), and
     spans that are settled here (kind 5)."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        x = np.concatenate(held)
+        x, spans = earliest(x[np.lexsort((x["at"], x["doc"]))])
+        often = np.isin(gram_keys(x), hot)
+        some = x[~often]
+        lead = np.ascontiguousarray(some["right"][:, :GRAM]).view(f"S{GRAM}").ravel()
+        rows = [*spread(3, np.searchsorted(splitters, lead, "right").astype(np.int32), some)]
+        if often.any():
+            seen, more = strings(x[often])
+            spans = np.concatenate([spans, more])
+            rows += spread(4, (seen["h"][:, 0] % np.uint64(buckets)).astype(np.int32), seen)
+        rows += spread(5, doc_bucket(spans["doc"], buckets), spans)
+        held.clear()
+        return table(rows)
+
     for _, own, data, _ in gathered(batches, (1,)):
         if data is None or not own[1]:
             continue
@@ -406,17 +423,13 @@ def context_rows(batches: Iterator[pa.RecordBatch], buckets: int, splitters: np.
             places = np.concatenate([rows_first(d, PLACE) for d in own[1]])
             own[1][:] = [places[np.lexsort((places["at"], places["doc"]))]]
         for x in contexts(data, own[1][0]):
-            x, spans = earliest(x)
-            often = np.isin(gram_keys(x), hot)
-            rows, some = [], x[~often]
-            lead = np.ascontiguousarray(some["right"][:, :GRAM]).view(f"S{GRAM}").ravel()
-            rows += spread(3, np.searchsorted(splitters, lead, "right").astype(np.int32), some)
-            if often.any():
-                seen, more = strings(x[often])
-                spans = np.concatenate([spans, more])
-                rows += spread(4, (seen["h"][:, 0] % np.uint64(buckets)).astype(np.int32), seen)
-            rows += spread(5, doc_bucket(spans["doc"], buckets), spans)
-            yield table(rows)
+            held.append(x)
+            size += len(x)
+            if size > CONTEXTS:
+                yield out()
+                size = 0
+    if held:
+        yield out()
 
 
 def span_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -501,8 +514,8 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
         names = written(ordered.select(F.monotonically_increasing_id().alias("at"), "doc_id", "text"), "ordered")
         rows = names.select(F.col("at").alias("doc_id"), "text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = 4 * parts
-    dealt = lambda x: x.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    buckets = parts
+    dealt = lambda x: x.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind")
     met = dealt(rows.mapInArrow(lambda b: anchor_rows(b, buckets), ROW_DDL)).mapInArrow(lambda b: repeated_rows(b, buckets, hot), ROW_DDL)
     met = written(met, "places")
     total = sum(int.from_bytes(r.n, "little") * r.times for r in met.where("kind = 8").groupBy(F.col("data").alias("n")).agg(F.count("*").alias("times")).collect())
