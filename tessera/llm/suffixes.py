@@ -90,7 +90,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_of(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
 
 
@@ -143,10 +143,10 @@ def anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         first["n"] = np.diff(np.append(start, len(x)))
         more = np.zeros(len(x), bool)
         more[order[~new]] = True
-        group = (first["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        group = bucket_of(first["key"], buckets)  # mixed again: anchors have small hashes
         by = np.lexsort((first["at"], first["doc"]))
         rest = x[np.flatnonzero(more)]
-        return table([*spread(1, group.astype(np.int32)[by], first[by]), *spread(0, doc_bucket(rest["doc"], buckets), rest)])
+        return table([*spread(1, group[by], first[by]), *spread(0, bucket_of(rest["doc"], buckets), rest)])
 
     for doc, data in text_rows(batches):
         if len(data) >= LENGTH:
@@ -196,7 +196,7 @@ def repeated_rows(batches: Iterator[pa.RecordBatch], buckets: int, often_met: in
     for bucket, own, data, _ in gathered(batches, (1,)):
         if data is not None:
             x = rows_first(data, ANCHOR)
-            yield table([*spread(1, doc_bucket(x["doc"], buckets), places_of(x)), (bucket, 8, len(x).to_bytes(8, "little"))])
+            yield table([*spread(1, bucket_of(x["doc"], buckets), places_of(x)), (bucket, 8, len(x).to_bytes(8, "little"))])
         elif own[1]:
             x = np.concatenate([rows_first(d, ANCHOR) for d in own[1]])
             x = x[np.argsort(x["key"], kind="stable")]
@@ -206,7 +206,7 @@ def repeated_rows(batches: Iterator[pa.RecordBatch], buckets: int, often_met: in
             y = x[often]
             y = y[np.lexsort((y["at"], y["doc"]))]
             hot = np.stack([x["key"][start], total.astype(np.uint64)], 1)[total > often_met]
-            rows = [*spread(1, doc_bucket(y["doc"], buckets), places_of(y)), (bucket, 8, len(x).to_bytes(8, "little"))]
+            rows = [*spread(1, bucket_of(y["doc"], buckets), places_of(y)), (bucket, 8, len(x).to_bytes(8, "little"))]
             yield table([*rows, (bucket, 9, hot.tobytes())] if len(hot) else rows)
 
 
@@ -225,7 +225,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
 
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for doc, bucket, text in zip(ids.tolist(), doc_bucket(ids, buckets).tolist(), batch.column(1).to_pylist(), strict=True):
+        for doc, bucket, text in zip(ids.tolist(), bucket_of(ids, buckets).tolist(), batch.column(1).to_pylist(), strict=True):
             data = bytes_of(text)
             held.setdefault(bucket, []).append((doc, data))
             size += len(data) + 16
@@ -412,7 +412,7 @@ def context_rows(batches: Iterator[pa.RecordBatch], buckets: int, splitters: np.
             seen, more = strings(x[often])
             spans = np.concatenate([spans, more])
             rows += spread(4, (seen["h"][:, 0] % np.uint64(buckets)).astype(np.int32), seen)
-        rows += spread(5, doc_bucket(spans["doc"], buckets), spans)
+        rows += spread(5, bucket_of(spans["doc"], buckets), spans)
         held.clear()
         return table(rows)
 
@@ -448,7 +448,7 @@ def span_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
                 found.append(united(x["doc"], x["at"], x["at"].astype(np.int64) + LENGTH))
         for spans in found:
             if len(spans):
-                yield table([*spread(1, doc_bucket(spans["doc"], buckets), spans)])
+                yield table([*spread(1, bucket_of(spans["doc"], buckets), spans)])
 
 
 def later(x: np.ndarray, same: np.ndarray) -> np.ndarray:
