@@ -24,7 +24,7 @@ IDENTITY = {
 }
 KIND_OF = {term: kind for kind, terms in IDENTITY.items() for term in terms}
 #: Bounds of the labelled sample the classifier is fitted on, of its features, and their rarity.
-SAMPLE_PER_CLASS, FEATURES, LEAST_DOCS = 5000, 3000, 3
+SAMPLE_PER_CLASS, FEATURES, LEAST_DOCS = 4000, 3000, 3
 #: Lengths of the word beginnings that count as features beside whole words.
 STEMS = (3, 4, 5, 6)
 L2, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 400
@@ -74,32 +74,32 @@ class Model:
         return max(-30.0, min(30.0, self.bias + sum(self.weights[f] for f in sorted(found))))
 
 
-def fit(rows: list[tuple[int, list[int], list[int], list[int], list[int]]]) -> Model:
-    """rows: label, features of the text, features that the swap removes and adds, and features
+def fit(rows: pa.Table) -> Model:
+    """Columns of rows: toxic, own, less, more, gone: the label, features of the text, features that the swap removes and adds, and features
     that go if the identity terms just go. Both changes to a text should leave its score alone."""
-    labels = np.array([r[0] for r in rows], np.float64)
+    labels = rows["toxic"].to_numpy().astype(np.float64)
+    lists = {c: rows[c].combine_chunks() for c in ("own", "less", "more", "gone")}
+    flat = {c: x.flatten().to_numpy() for c, x in lists.items()}
+    owners = {c: np.repeat(np.arange(len(rows)), np.diff(x.offsets.to_numpy())) for c, x in lists.items()}
     if not len(rows) or labels.min() == labels.max():
         return Model({}, 0.0 if not len(rows) else 4.0 * (2 * labels[0] - 1))
-    ids, where = np.unique(np.concatenate([np.asarray(r[1], np.int64) for r in rows]), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    ids, where = np.unique(flat["own"], return_inverse=True)
+    owner = owners["own"]
     toxic = np.bincount(where, labels[owner], len(ids))
     total = np.bincount(where, minlength=len(ids))
     gap = np.abs(toxic / labels.sum() - (total - toxic) / (len(rows) - labels.sum()))
     best = np.argsort(-np.where(total >= LEAST_DOCS, gap, -1), kind="stable")[:FEATURES]
-    named = {f for w in KIND_OF for f in features_of(w)}
-    chosen = sorted(set(ids[best[total[best] >= LEAST_DOCS]].tolist()) | named)
-    at = {f: i for i, f in enumerate(chosen)}
+    named = np.array(sorted({f for w in KIND_OF for f in features_of(w)}))
+    chosen = np.union1d(ids[best[total[best] >= LEAST_DOCS]], named)
     x, d = np.zeros((len(rows), len(chosen)), np.float32), np.zeros((2 * len(rows), len(named)), np.float32)
-    shift_at = {f: i for i, f in enumerate(sorted(named))}
-    for i, (_, own, less, more, gone) in enumerate(rows):
-        x[i, [at[f] for f in own if f in at]] = 1
-        d[i, [shift_at[f] for f in less if f in shift_at]] = -1
-        d[i, [shift_at[f] for f in more if f in shift_at]] = 1
-        d[len(rows) + i, [shift_at[f] for f in gone if f in shift_at]] = -1
-    pick = np.array([at[f] for f in shift_at])
+    for matrix, column, names, value, below in ((x, "own", chosen, 1, 0), (d, "less", named, -1, 0), (d, "more", named, 1, 0), (d, "gone", named, -1, len(rows))):
+        place = np.minimum(np.searchsorted(names, flat[column]), len(names) - 1)
+        known = names[place] == flat[column]
+        matrix[below + owners[column][known], place[known]] = value
+    pick = np.searchsorted(chosen, named)
     weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(rows) - labels.sum()))
     w = v = np.zeros(len(chosen) + 1)
-    step = 4.0 / (float((weight @ x.astype(np.float32).sum(1)) + 1) + 4 * COUNTERFACTUAL * max(1.0, float((d**2).sum(1).mean())) * 2)
+    step = 4.0 / (float((weight @ x.sum(1)) + 1) + 4 * COUNTERFACTUAL * max(1.0, float((d**2).sum(1).mean())) * 2)
     for k in range(STEPS):  # accelerated gradient descent
         p = 1 / (1 + np.exp(-np.clip(x @ v[:-1].astype(np.float32) + v[-1], -30, 30)))
         e = weight * (p - labels)
@@ -107,7 +107,7 @@ def fit(rows: list[tuple[int, list[int], list[int], list[int], list[int]]]) -> M
         np.add.at(g, pick, 2 * COUNTERFACTUAL * (d.T @ (d @ v[pick].astype(np.float32))) / len(rows))
         w, old = v - step * g, w
         v = w + k / (k + 3) * (w - old)
-    return Model({f: float(w[i]) for f, i in at.items() if w[i]}, float(w[-1]))
+    return Model({int(f): float(v) for f, v in zip(chosen, w[:-1], strict=True) if v}, float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -126,8 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         after = kept | {f for w in into for f in features_of(w)}
         return doc_id, toxic, sorted(own), sorted(own - after), sorted(after - own), sorted(own - kept)
 
-    rows = mapped(texts, example, "doc_id long, toxic int, own array<long>, less array<long>, more array<long>, gone array<long>").collect()
-    return fit([tuple(r)[1:] for r in sorted(rows, key=lambda r: (r.doc_id, r.own))])
+    rows = mapped(texts, example, "doc_id long, toxic int, own array<long>, less array<long>, more array<long>, gone array<long>")
+    return fit(rows.toArrow().sort_by("doc_id"))
 
 
 def scored(docs: DataFrame, model: Model, *, column: str = "text") -> DataFrame:
