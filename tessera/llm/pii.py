@@ -126,12 +126,15 @@ def disclosing(texts: DataFrame, support: int = SUPPORT, share: float = SHARE) -
     held = protected.join(chosen.select("__h1", "__h2").distinct(), ["__h1", "__h2"]).select("__h1", "__h2", F.explode(terms_of(masked(F.col("__text")))).alias("term"))
     held = written(held, "terms")
     pairs = held.join(chosen, ["__h1", "__h2"]).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    total = texts.select(*text_key()).distinct().count()
+    # a pair needs n_t <= n_te (N / n_e) ** (1 - share); protected texts alone show that most terms are met too often
+    least = protected.select(F.explode(terms_of(masked(F.col("__text")))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    pairs = pairs.join(n_e, "entity").join(least, "term").where(f"n_e < {total} and least <= 1.000001 * n_te * pow({total} / cast(n_e as double), 1 - {share})").drop("least")
     pairs = written(pairs, "pairs")
     wanted = pairs.select("term").distinct()
     corpus = texts.select(*text_key(), "__text").dropDuplicates(["__h1", "__h2"])
     n_t = corpus.select(F.explode(terms_of(masked(F.col("__text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
-    total = texts.select(*text_key()).distinct().count()
-    told = pairs.join(n_t, "term").join(n_e, "entity").where(f"n_e < {total} and ln({total} * cast(n_te as double) / n_t / n_e) >= {share} * ln({total} / cast(n_e as double))")
+    told = pairs.join(n_t, "term").where(f"ln({total} * cast(n_te as double) / n_t / n_e) >= {share} * ln({total} / cast(n_e as double))")
     hits = held.join(chosen, ["__h1", "__h2"]).join(told.select("entity", "term"), ["entity", "term"], "left_semi")
     return written(hits.groupBy("__h1", "__h2").agg(F.sort_array(F.collect_set("term")).alias("terms")), "disclosing")  # a text's own terms
 
