@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from tessera.llm.common import written
 
 #: Children of a node, rows meant for a leaf, most leaves, rows the tree is fitted on at most.
 BRANCH, LEAF_ROWS, MOST_LEAVES, SAMPLE = 8, 1024, 1024, 20_000
+#: Leaves a query visits before its k-th best score so far bounds what the others may add.
+FIRST = 2
 #: Rows of a block, queries of a block, queries that calibrate, the recall that they must reach.
 BLOCK, QUERIES, CALIBRATION, RECALL = 4096, 512, 128, 0.96
 
@@ -106,14 +109,15 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of x for each query: query ids, ids, scores; ties go to the smaller id."""
+def best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of x for each query, but none below its bound: query ids, ids, scores; ties go to
+    the smaller id."""
     order = np.argsort(ids, kind="stable")
     ids, score = ids[order], products(q, x[order])
     score[qid[:, None] == ids[None, :]] = -np.inf
     top = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(ids))]
     value = np.take_along_axis(score, top, 1)
-    own = value > -np.inf
+    own = (value > -np.inf) & (value >= (-np.inf if bound is None else bound[:, None]))
     return np.repeat(qid, top.shape[1]).reshape(top.shape)[own], ids[top][own], value[own]
 
 
@@ -221,24 +225,38 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall: float =
     parts = F.element_at(F.create_map(*(F.lit(x) for kv in sorted(salts.items()) for x in kv)), F.col("leaf"))
     blocks = packed(rows.select("leaf", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("salt"), "vec_id", "v"), ["leaf", "salt"], BLOCK)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [shared.value.visits(x, most) for x in matrix(batch.column("v"))]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(lists, pa.list_(pa.int32()))], names=["vec_id", "v", "leaves"])
+    blocks = written(blocks, "blocks")
+    search = partial(_search, k=k)
 
-    routed = queries.select("vec_id", "v").repartition(F.col("vec_id")).mapInArrow(route, "vec_id long, v array<double>, leaves array<int>").select("vec_id", "v", F.explode("leaves").alias("leaf"))
-    # a part of a query's leaf takes its queries from as many tasks as it has blocks of them
-    asked = packed(routed.withColumn("turn", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int")), ["leaf", "turn"], QUERIES)
-    asked = asked.select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.col("ids").alias("qids"), F.col("vectors").alias("qs"))
-    pairs = asked.where("salt is not null").join(blocks, ["leaf", "salt"]).select("qids", "qs", "ids", "vectors")
+    def visited(asking: DataFrame, first: int, last: int) -> DataFrame:
+        """What queries (vec_id, v with the bound as last component) find in these of their leaves."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*batch.columns, strict=True):
-                qid, q, ids, x = (np.frombuffer(c.as_buffer(), t) for c, t in zip(row, (np.int64, np.float64) * 2, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in best(qid, q.reshape(len(qid), -1), ids, x.reshape(len(ids), -1), k)], schema=FOUND)
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = [shared.value.visits(x[:-1], last)[first:] for x in matrix(batch.column("v"))]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(lists, pa.list_(pa.int32()))], names=["vec_id", "v", "leaves"])
+
+        routed = asking.repartition(F.col("vec_id")).mapInArrow(route, "vec_id long, v array<double>, leaves array<int>").select("vec_id", "v", F.explode("leaves").alias("leaf"))
+        asked = packed(routed.withColumn("turn", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int")), ["leaf", "turn"], QUERIES)
+        asked = asked.where(parts.isNotNull()).select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.col("ids").alias("qids"), F.col("vectors").alias("qs"))
+        return asked.join(blocks, ["leaf", "salt"]).select("qids", "qs", "ids", "vectors").mapInArrow(search, "query_id long, vec_id long, score double")
+
+    with_bound = lambda bound: F.concat("v", F.array(bound))
+    near = written(ranked(visited(queries.select("vec_id", with_bound(F.lit(float("-inf"))).alias("v")), 0, min(FIRST, most)), k), "near")
+    if most <= FIRST:
+        return near
+    bounds = near.where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("bound"))
+    asking = queries.join(bounds, F.col("vec_id") == F.col("q"), "left").select("vec_id", with_bound(F.coalesce("bound", F.lit(float("-inf")))).alias("v"))
+    return ranked(near.drop("rank").unionByName(visited(asking, FIRST, most)), k)
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            qid, q, ids, x = (np.frombuffer(c.as_buffer(), t) for c, t in zip(row, (np.int64, np.float64) * 2, strict=True))
+            q = q.reshape(len(qid), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in best(qid, q[:, :-1], ids, x.reshape(len(ids), -1), k, q[:, -1])], schema=FOUND)
 
-    return ranked(pairs.mapInArrow(search, "query_id long, vec_id long, score double"), k)
 
 
 def op10_ann(spark, sf_dir: str) -> DataFrame:
