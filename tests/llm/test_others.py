@@ -109,6 +109,18 @@ def test_tree_matching():
     assert html.aligned(a, b) == [(1, 0), (2, 2)] and html.matches(tree("r", *a), tree("r", *b)) == 4
 
 
+def test_matching_stays_small():
+    deep = lambda odd: "".join(f"<div class=c{k % 3}><p>x</p><ul class=u{odd if k % 2 else 0}></ul>" for k in range(400))
+    a, b = (html.skeleton(html.parsed(deep(k))) for k in (1, 2))
+    whole = html.merged(a, b)
+    assert whole[1] == 2 and html.extracted(deep(3), html.template(whole)) is not None
+    wide = [html.skeleton(html.parsed("".join(f"<div class=k{k}-{n}>t</div>" for n in range(900)))) for k in range(12)]
+    held = wide[0]
+    for w in wide[1:]:
+        held = html.trimmed(html.merged(held, w))
+    assert html.nodes_in(held) < 20_000 and held[1] == 12
+
+
 def neighbours(rows, every=20, k=20):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
     out = {}
