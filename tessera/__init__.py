@@ -1,0 +1 @@
+"""A versioned analytics engine on Spark: relational operators, snapshots, and log decoding."""
