@@ -22,8 +22,10 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
 #: Characters taken in at a time; a piece beyond LONG characters is encoded as it comes.
 CHUNK, LONG = 1 << 16, 2048
-#: Pieces whose encoding is remembered.
-REMEMBERED = 400_000
+#: Pieces whose encoding is remembered, and characters of the longest of them.
+REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+#: Bits of a token id, and of a rule the part that is one; no rule; bytes up to which a list beats a heap.
+RESULT_BITS, RESULT, NONE, SHORT = 32, (1 << 32) - 1, 1 << 62, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,11 +46,11 @@ class Vocabulary:
         self.tokens: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in model["vocab"].items() if t not in self.special}
         ids = {t: i for i, t in self.tokens.items()}
         self.of_byte = [ids[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}  # rank and result in one number, which orders by rank
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         for rank, (a, b) in enumerate(pairs):
             left, right = (ids[bytes(back[c] for c in x)] for x in (a, b))
-            self.merges.setdefault((left, right), (rank, ids[self.tokens[left] + self.tokens[right]]))
+            self.merges.setdefault((left, right), rank << RESULT_BITS | ids[self.tokens[left] + self.tokens[right]])
         self.tokens |= {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.lookahead = self._lookahead()
@@ -68,7 +70,8 @@ class Vocabulary:
         made: dict[int, tuple[int, int]] = {}  # token: right part, rank
         by_left: dict[int, tuple[list[int], list[int]]] = {}  # left part: ranks, running maxima of need
         longest = 0
-        for (left, right), (rank, out) in sorted(self.merges.items(), key=lambda kv: kv[1][0]):
+        for (left, right), rule in sorted(self.merges.items(), key=lambda kv: kv[1]):
+            rank, out = rule >> RESULT_BITS, rule & RESULT
             need, part, before = 0, right, rank
             while True:
                 ranks, most = by_left.get(part, ((), ()))
@@ -91,20 +94,22 @@ class Vocabulary:
         n, merges = len(ids), self.merges
         if n < 2:
             return ids
-        if n <= 24:
-            while True:
-                best, at = None, -1
-                for k in range(len(ids) - 1):
-                    m = merges.get((ids[k], ids[k + 1]))
-                    if m is not None and (best is None or m[0] < best[0]):
-                        best, at = m, k
-                if best is None:
-                    return ids
-                ids[at : at + 2] = [best[1]]
+        if n <= SHORT:
+            get = merges.get
+            rules = [get(pair, NONE) for pair in zip(ids, ids[1:], strict=False)]
+            while rules and (best := min(rules)) != NONE:
+                k, out = rules.index(best), best & RESULT
+                ids[k : k + 2] = [out]
+                del rules[k]
+                if k:
+                    rules[k - 1] = get((ids[k - 1], out), NONE)
+                if k < len(rules):
+                    rules[k] = get((out, ids[k + 1]), NONE)
+            return ids
         after, before, queue = [*range(1, n), -1], [-1, *range(n - 1)], []
         for k in range(n - 1):
             if m := merges.get((ids[k], ids[k + 1])):
-                queue.append((m[0], k, ids[k], ids[k + 1], m[1]))
+                queue.append((m >> RESULT_BITS, k, ids[k], ids[k + 1], m & RESULT))
         heapq.heapify(queue)
         while queue:
             _, k, a, b, out = heapq.heappop(queue)
@@ -117,38 +122,45 @@ class Vocabulary:
                 before[after[j]] = k
             for left in (before[k], k):
                 if left >= 0 and (right := after[left]) >= 0 and (m := merges.get((ids[left], ids[right]))):
-                    heapq.heappush(queue, (m[0], left, ids[left], ids[right], m[1]))
+                    heapq.heappush(queue, (m >> RESULT_BITS, left, ids[left], ids[right], m & RESULT))
         return [i for i in ids if i >= 0]
 
 
+class Memory(dict):
+    """Packed ids of pieces, made when first asked for; bounded."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+
+    def __missing__(self, piece: str) -> bytes:
+        got = packed(self.v.merged(piece.encode("utf-8", "surrogatepass")))
+        if len(piece) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Encoder:
     """A transducer: `feed` takes text in any portions and returns the packed ids that no later
     text can change; `flush` returns the rest. What it holds back is bounded by LONG characters
     and the vocabulary's lookahead, not by the text or a piece of it."""
 
-    def __init__(self, vocabulary: Vocabulary, remembered: dict[str, bytes] | None = None):
-        self.v, self.known = vocabulary, {} if remembered is None else remembered
+    def __init__(self, vocabulary: Vocabulary, memory: Memory | None = None):
+        self.v, self.piece = vocabulary, (Memory(vocabulary) if memory is None else memory).__getitem__
         self.hold = max((len(s) - 1 for s in vocabulary.special), default=0)
         self._reset()
 
     def _reset(self) -> None:
         self.text, self.plain, self.run, self.raw = "", "", None, b""
 
-    def piece(self, s: str) -> bytes:
-        got = self.known.get(s)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            got = packed(self.v.merged(s.encode("utf-8", "surrogatepass")))
-            if len(s) <= 64:
-                self.known[s] = got
-        return got
-
     def feed(self, text: str) -> bytes:
         self.text += text
         return self._specials(False)
 
-    def flush(self) -> bytes:
+    def flush(self, text: str = "") -> bytes:
+        """The ids of all that is held back and of the last of the text."""
+        self.text += text
         out = self._specials(True) + self._pieces(True)
         self._reset()
         return out
@@ -185,12 +197,10 @@ class Encoder:
             out += map(self.piece, PIECES.findall(s))
             self.plain = ""
             return b"".join(out)
-        settled, limit = 0, len(s) - 2
-        for m in PIECES.finditer(s):
-            if m.end() > limit - 1:
-                break
-            out.append(self.piece(m[0]))
-            settled = m.end()
+        pieces, settled = PIECES.findall(s), len(s)  # the pieces are all of s
+        while pieces and settled > len(s) - 3:
+            settled -= len(pieces.pop())
+        out += map(self.piece, pieces)
         s = s[settled:]
         if len(s) > LONG and (m := PIECES.match(s)) and m.end() > LONG // 2:
             space = m[0].isspace()
@@ -248,23 +258,28 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encoded(v: Vocabulary, text: str | None, known: dict[str, bytes] | None = None) -> Iterator[bytes]:
+@lru_cache(2)
+def remembered(path: str) -> Memory:
+    """One memory a worker, whatever the number of its tasks."""
+    return Memory(vocabulary(path))
+
+
+def encoded(v: Vocabulary, text: str | None, memory: Memory | None = None) -> Iterator[bytes]:
     """Packed ids (little-endian, unsigned, 32 bits) of a text, in portions."""
-    encoder = Encoder(v, known)
-    for k in range(0, len(text or ""), CHUNK):
+    encoder, text = Encoder(v, memory), text or ""
+    last = max(0, len(text) - 1) // CHUNK * CHUNK
+    for k in range(0, last, CHUNK):
         yield encoder.feed(text[k : k + CHUNK])
-    yield encoder.flush()
+    yield encoder.flush(text[last:])
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null counts as empty; equal rows
     give equal results. Each text is one row, and its ids never stand whole in memory."""
-    known: dict[str, bytes] = {}
-
     def row(doc_id: int, text: str | None) -> tuple:
-        v = vocabulary(path)
+        v, memory = vocabulary(path), remembered(path)
         decoder, ids, plain, n = Decoder(v), hashlib.sha256(), hashlib.sha256(), 0
-        for portion in encoded(v, text, known):
+        for portion in encoded(v, text, memory):
             ids.update(portion)
             n += len(portion) // 4
             plain.update(decoder.feed(np.frombuffer(portion, "<u4")).encode())
