@@ -24,10 +24,10 @@ IDENTITY = {
 }
 KIND_OF = {term: kind for kind, terms in IDENTITY.items() for term in terms}
 #: Bounds of the labelled sample the classifier is fitted on, of its features, and their rarity.
-SAMPLE_PER_CLASS, FEATURES, LEAST_DOCS = 4000, 3000, 3
+SAMPLE_PER_CLASS, FEATURES, LEAST_DOCS = 3000, 2000, 3
 #: Lengths of the word beginnings that count as features beside whole words.
 STEMS = (3, 4, 5, 6)
-L2, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 400
+L2, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 200
 
 
 def words_of(text: str | None) -> set[str]:
