@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import connected_components, mapped, written
 
 SHINGLE, SEED, BITS = 3, 42, 64
+#: Near copies: words of a shingle, least similarity, words of the sketch that tells it, and the
+#: differing bits of the word codes within which copies are sought.
+WIDE_SHINGLE, SIMILARITY, SKETCH, WORD_BITS = 5, 0.8, 4, 7
 #: Codes below a lowest node, nodes below a higher one, and queries searched at a time.
 LEAF, FAN, CHUNK = 32, 8, 1024
 
@@ -26,9 +29,35 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
     digest = xxhash.xxh64_digest
-    bits = np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.uint8).reshape(-1, 8)
-    ones = sum((np.unpackbits(bits[k : k + 4096], axis=1).sum(0, dtype=np.int64) for k in range(0, len(bits), 4096)), np.zeros(BITS, np.int64))
-    return int.from_bytes(np.packbits(ones * 2 > len(bits)).tobytes(), "big")
+    return int.from_bytes(majority(b"".join([digest(s, SEED) for s in shingles]), 8), "big")
+
+
+def majority(digests: bytes, size: int) -> bytes:
+    """The bits that over half of the digests of `size` bytes have set."""
+    bits = np.frombuffer(digests, np.uint8).reshape(-1, size)
+    ones = sum((np.unpackbits(bits[k : k + 4096], axis=1).sum(0, dtype=np.int64) for k in range(0, len(bits), 4096)), np.zeros(8 * size, np.int64))
+    return np.packbits(ones * 2 > len(bits)).tobytes()
+
+
+def signature(text: str | None) -> tuple[int, ...]:
+    """SimHash of the set of words, 64 bits, and of the set of five-word shingles, 256 bits in four
+    numbers. The first changes little between near copies, so it finds them; the second tells how
+    similar they are."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return (0,) * (1 + SKETCH)
+    size = min(len(words), WIDE_SHINGLE)
+    shingles = set(map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
+    one, two = xxhash.xxh64_digest, xxhash.xxh3_128_digest
+    code = majority(b"".join([one(w, SEED) for w in set(words)]), 8)
+    sketch = majority(b"".join([two(s, k) for s in shingles for k in (1, 2)]), 32)
+    return tuple(np.frombuffer(code + sketch, ">i8").tolist())
+
+
+def bits_apart(similarity: float) -> int:
+    """Differing bits of two sketches of sets of equal size with this share of common members: the
+    angle between them, as a part of half a turn."""
+    return round(SKETCH * BITS * acos(2 * similarity / (1 + similarity)) / pi)
 
 
 def signed(x: int) -> int:
@@ -58,12 +87,12 @@ class GrayIndex:
             size = FAN
         self.spans = [LEAF * FAN**k for k in range(len(self.levels))]
 
-    def links(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(self, most: int, pairs: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links (i, j), i < j, that join codes at `most` differing bits or fewer: every such pair is
-        linked directly or through a node whose codes are all that near to each other."""
+        linked directly or, unless `pairs`, through a node whose codes are all that near to each other."""
         tight = []
         for (mask, _), span in zip(self.levels, self.spans, strict=True):
-            near = np.bitwise_count(~mask) <= most
+            near = (np.bitwise_count(~mask) <= most) & (not pairs)
             tight.append(near)
             for node in np.flatnonzero(near):  # all below differ in the free bits at most
                 j = np.arange(node * span + 1, min(len(self.codes), (node + 1) * span))
@@ -108,11 +137,18 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def near_links(groups: np.ndarray, codes: np.ndarray, most: int) -> np.ndarray:
-    """Roots after linking within groups; rows come sorted by group, then Gray rank."""
+def near_links(groups: np.ndarray, codes: np.ndarray, most: int, sketch: np.ndarray | None = None, apart: int = 0) -> np.ndarray:
+    """Roots after linking within groups; rows come sorted by group, then Gray rank. With sketches,
+    a link also needs these at `apart` differing bits or fewer."""
     ends = np.flatnonzero(np.append(groups[1:] != groups[:-1], True)) + 1
     starts = np.append(0, ends[:-1])
 
+    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(codes[i] ^ codes[j]) <= most
+        if sketch is not None:
+            near[near] = np.bitwise_count(sketch[i[near]] ^ sketch[j[near]]).sum(1) <= apart
+        return near
+
     def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         small = np.repeat(ends - starts <= 2 * LEAF, ends - starts)
         for d in range(1, 2 * LEAF):  # short groups: each code against its followers
@@ -120,12 +156,16 @@ def near_links(groups: np.ndarray, codes: np.ndarray, most: int) -> np.ndarray:
             if not same.any():
                 break
             i = np.flatnonzero(same)
-            i = i[np.bitwise_count(codes[i] ^ codes[i + d]) <= most]
+            i = i[alike(i, i + d)]
             yield i, i + d
         for a, b in zip(starts, ends, strict=True):
             if b - a > 2 * LEAF:
-                for i, j in GrayIndex(codes[a:b]).links(most):
-                    yield i + a, j + a
+                for i, j in GrayIndex(codes[a:b]).links(most, sketch is not None):
+                    i, j = i + a, j + a
+                    if sketch is not None:
+                        near = alike(i, j)
+                        i, j = i[near], j[near]
+                    yield i, j
 
     return forest(len(codes), links())
 
@@ -133,15 +173,16 @@ def near_links(groups: np.ndarray, codes: np.ndarray, most: int) -> np.ndarray:
 def plan_for(distinct: int, most: int) -> tuple[int, int]:
     """Blocks and how many of them make a key: codes at `most` differing bits or fewer agree in
     blocks - most whole blocks. Keys get longer with the number of codes, so groups stay short."""
-    for chosen in range(1, 5):
+    for chosen in range(1 if most <= 3 else 2, 5):
         if distinct < 1 << (BITS * chosen // (most + chosen) + 8):
             break
     return most + chosen, chosen
 
 
-def linked(codes: DataFrame, most: int = 3) -> DataFrame:
-    """Edges (a, b) between distinct codes (column code, long) whose closure is that of all pairs
-    at `most` differing bits or fewer.
+def linked(codes: DataFrame, most: int = 3, apart: int | None = None) -> DataFrame:
+    """Edges (a, b) between rows of `codes` (code and node, long), by node, whose closure is that of
+    all pairs at `most` differing bits or fewer. With `apart`, a pair also needs sketches (s0 to s3)
+    at so many differing bits or fewer.
 
     A key is the Gray hierarchy's top: its masked bits are shared exactly, so only codes below the
     same key can be near; each group below a key is searched by its `GrayIndex`. A group gives a
@@ -155,13 +196,15 @@ def linked(codes: DataFrame, most: int = 3) -> DataFrame:
     for k in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("part"), F.col("code").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks))))
-    rows = codes.select("code", rank.alias("rank"), keys.alias("k")).select("code", "rank", "k.part", "k.key")
+    names = ["code", "node", *(f"s{k}" for k in range(SKETCH) if apart is not None)]
+    rows = codes.select(*names, rank.alias("rank"), keys.alias("k")).select(*names, "rank", "k.part", "k.key")
+    wanted = ["part", "key", *names]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 3), np.int64)
+        held = np.empty((0, len(wanted)), np.int64)
         for batch in batches:
-            held = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "key", "code")], 1)])
+            held = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in wanted], 1)])
             new = np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(1))
             if len(new):
                 yield from found(held[: new[-1] + 1])
@@ -171,11 +214,11 @@ def linked(codes: DataFrame, most: int = 3) -> DataFrame:
 
     def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         group = np.append(0, np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(1)))
-        codes = rows[:, 2].copy()
-        root = near_links(group, codes.view(np.uint64), most)
+        sketch = None if apart is None else np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
+        root = near_links(group, rows[:, 2].copy().view(np.uint64), most, sketch, apart or 0)
         other = np.flatnonzero(root != np.arange(len(root)))
         if len(other):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[other]), pa.array(codes[root[other]])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[other, 3]), pa.array(rows[root[other], 3])], schema=schema)
 
     # a key's group is met whole: its codes are distinct and 8 bytes each
     return rows.repartition("part", "key").sortWithinPartitions("part", "key", F.col("rank").bitwiseXOR(F.lit(-(1 << 63)))).mapInArrow(search, "a long, b long")
@@ -194,17 +237,27 @@ def components(docs: DataFrame, most: int = 3) -> DataFrame:
     """
     rows = written(fingerprints(docs), "fingerprints")
     classes = rows.groupBy("code").agg(F.min("doc_id").alias("least"))
-    members = connected_components(linked(classes.select("code"), most))
+    members = connected_components(linked(classes.select("code", F.col("code").alias("node")), most))
     grouped = classes.join(members, classes["code"] == members["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(grouped.select("code", "root").join(ids, "root"), "code").select("doc_id", "code", "component_id")
 
 
-def one_of_each(docs: DataFrame, most: int = 3) -> DataFrame:
-    """The rows of `docs` whose doc_id is its component's smallest, one row for each; rows with a
-    null doc_id are kept, since no id can speak for them."""
-    found = components(docs.where("doc_id is not null"), most)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, most: int = WORD_BITS) -> DataFrame:
+    """One row of `docs` for each group of near copies, the one with the smallest doc_id. Texts are
+    near copies if their sets of five-word shingles are `similarity` alike or more, as sketches of
+    256 bits tell it; candidates are all pairs whose word codes differ in `most` bits at most.
+
+    Rows with a null doc_id are kept, since no id can speak for them; null and empty texts are near
+    copies of each other; rows that repeat a doc_id count as one group.
+    """
+    schema = ", ".join(["node long, code long", *(f"s{k} long" for k in range(SKETCH))])
+    rows = written(mapped(docs.select("doc_id", "text").where("doc_id is not null"), lambda i, t: (i, *signature(t)), schema), "signatures")
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    classes = rows.groupBy("code", *sketch).agg(F.min("node").alias("node"))
+    members = connected_components(linked(classes, most, bits_apart(similarity)))
+    gone = members.where("node <> root").select(F.col("node").alias("doc_id"))
+    kept = classes.select(F.col("node").alias("doc_id")).distinct().join(gone, "doc_id", "left_anti")
     first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     copies = first.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1")
     if not copies.isEmpty():  # repeated ids only: the texts of one id are put in order and the first stays

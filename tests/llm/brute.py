@@ -64,6 +64,27 @@ def hamming_components(rows, most=3):
     return [(doc, f"{c:016x}", least.get(find(c))) for (doc, _), c in zip(rows, codes, strict=True)]
 
 
+def near_groups(rows):
+    """doc_id: smallest doc_id of its group, by all pairs of signatures."""
+    from tessera.llm import simhash
+
+    parent, own = {i: i for i, _ in rows}, [(i, simhash.signature(t)) for i, t in rows]
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    whole = (1 << 64) - 1
+    apart = lambda a, b: sum(((x & whole) ^ (y & whole)).bit_count() for x, y in zip(a, b, strict=True))
+    for n, (i, a) in enumerate(own):
+        for j, b in own[n + 1 :]:
+            if apart(a[:1], b[:1]) <= 7 and apart(a[1:], b[1:]) <= 39:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {i: find(i) for i, _ in rows}
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

@@ -90,6 +90,27 @@ def test_simhash_odd(odd, empty):
     assert ids.count(None) == 2 and len({i for i in ids if i is not None}) == len(ids) - 2
 
 
+def test_near_copies(spark):
+    random.seed(11)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 6))) for _ in range(4000)]
+    rows, similar = [], {}
+    for k in range(150):
+        text = random.choices(vocabulary, k=random.randint(60, 500))
+        rows.append((k, " ".join(text)))
+        for n in range(3):
+            copy = [random.choice(vocabulary) if random.random() < 0.02 * n else w for w in text]
+            i = 1000 + 10 * k + n
+            rows.append((i, " ".join(copy)))
+            a, b = ({tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in (text, copy))
+            similar[i] = len(a & b) / len(a | b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert set(range(150)) <= kept and kept == set(brute.near_groups(rows).values())
+    close, far = [i for i, s in similar.items() if s >= 0.85], [i for i, s in similar.items() if s < 0.65]
+    assert len(close) > 150 and sum(i in kept for i in close) <= 0.05 * len(close)
+    assert far and sum(i in kept for i in far) > 0.9 * len(far)
+
+
 @pytest.mark.parametrize("spread", [4, 9, 20])
 def test_gray_index(spread):
     rng = np.random.default_rng(spread)
