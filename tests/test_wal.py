@@ -168,3 +168,15 @@ def test_stream_equals_batch(spark):
     sf = "/root/testdata/sf0.001"
     key = lambda q: sorted(map(tuple, q(spark, sf).select("xid", "commit_lsn", "lsn", "op", "seq").collect()))
     assert key(queries.logical_stream) == key(queries.logical_decode)
+
+
+def test_command_line(spark):
+    from tessera import __main__ as command
+
+    folder = work_path(spark, "wal")
+    wal.write_segments(spark, log(insert(10, 0, b"a"), insert(10, 1, b"b"), end(10), wal.Record(6, 0, 0)), folder)
+    got = {r.rmgr: (r.applied, r.skipped) for r in command.summarised(spark, folder).collect()}
+    assert got == {"Heap": (2, 0), "Transaction": (1, 0), replay.MANAGERS[6]: (0, 1)}
+    assert command.position("1/2A") == 0x1_0000_002A and command.position("42") == 42
+    with pytest.raises(wal.LogError, match="sizes"):
+        command.segment_size(spark, "/root/testdata/sf0.001")
