@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import acos, comb, pi
 
@@ -20,6 +20,8 @@ SHINGLE, SEED, BITS = 3, 42, 64
 WIDE_SHINGLE, SIMILARITY, SKETCH, WORD_BITS = 5, 0.8, 4, 7
 #: Codes below a lowest node, nodes below a higher one, and queries searched at a time.
 LEAF, FAN, CHUNK = 32, 8, 1024
+#: Members of a large group that may be compared with all others in vain before the index takes over.
+VAIN = 64
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -87,9 +89,11 @@ class GrayIndex:
             size = FAN
         self.spans = [LEAF * FAN**k for k in range(len(self.levels))]
 
-    def links(self, most: int, pairs: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Links (i, j), i < j, that join codes at `most` differing bits or fewer: every such pair is
-        linked directly or, unless `pairs`, through a node whose codes are all that near to each other."""
+    def links(self, most: int, pairs: bool = False, ask: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links that join codes at `most` differing bits or fewer: every such pair is linked directly
+        or, unless `pairs`, through a node whose codes are all that near to each other. With `ask`
+        (places), only pairs with one of these need a link."""
+        asked = np.arange(len(self.codes)) if ask is None else ask
         tight = []
         for (mask, _), span in zip(self.levels, self.spans, strict=True):
             near = (np.bitwise_count(~mask) <= most) & (not pairs)
@@ -97,13 +101,15 @@ class GrayIndex:
             for node in np.flatnonzero(near):  # all below differ in the free bits at most
                 j = np.arange(node * span + 1, min(len(self.codes), (node + 1) * span))
                 yield np.full(len(j), node * span), j
-        for start in range(0, len(self.codes), CHUNK):
-            q = np.arange(start, min(len(self.codes), start + CHUNK))
+        for start in range(0, len(asked), CHUNK):
+            q = asked[start : start + CHUNK]
             n = np.zeros(len(q), np.int64)
             for level in range(len(self.levels) - 1, -1, -1):
                 mask, ones = self.levels[level]
                 differ = np.bitwise_count((self.codes[q] ^ ones[n]) & mask[n])  # shared factors of a path add up here
-                keep = (differ <= most) & (np.minimum(len(self.codes), (n + 1) * self.spans[level]) > q + 1)
+                keep = differ <= most
+                if ask is None:  # the other end of a pair comes later
+                    keep &= np.minimum(len(self.codes), (n + 1) * self.spans[level]) > q + 1
                 q, n, differ = q[keep], n[keep], differ[keep]
                 whole = (differ + np.bitwise_count(~mask[n]) <= most) & tight[level][n]
                 if whole.any():
@@ -117,7 +123,7 @@ class GrayIndex:
                     q, n = q[n < below], n[n < below]
             for k in range(0, len(q), 1 << 15):
                 i, j = np.repeat(q[k : k + (1 << 15)], LEAF), (n[k : k + (1 << 15), None] * LEAF + np.arange(LEAF)).ravel()
-                inside = (j < len(self.codes)) & (j > i)
+                inside = (j < len(self.codes)) & (j > i if ask is None else j != i)
                 i, j = i[inside], j[inside]
                 near = np.bitwise_count(self.codes[i] ^ self.codes[j]) <= most
                 yield i[near], j[near]
@@ -137,6 +143,34 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+def group_links(codes: np.ndarray, most: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within one large group of codes in Gray order; their closure is that of all pairs that
+    are `alike`.
+
+    A component grows first: its members are compared with those in no component yet, which soon
+    takes in a group of near copies and needs no pair within it. A component without members left
+    to compare is whole and goes. After VAIN members without a find the index seeks the links of
+    those in no component yet, with one another and with the component that was growing.
+    """
+    loose, grown, todo, vain = np.arange(len(codes)), [], [], 0
+    while len(loose) and vain < VAIN:
+        if not todo:
+            grown, todo, loose = [loose[:1]], [loose[0]], loose[1:]
+        own = todo.pop()
+        near = alike(np.full(len(loose), own), loose)
+        found, loose = loose[near], loose[~near]
+        vain += not len(found)
+        yield np.full(len(found), own), found
+        grown.append(found)
+        todo.extend(found.tolist())
+    if len(loose):
+        rest = np.sort(np.concatenate([loose, *grown])) if todo else loose
+        for i, j in GrayIndex(codes[rest]).links(most, pairs, np.searchsorted(rest, loose) if todo else None):
+            i, j = rest[i], rest[j]
+            near = alike(i, j) if pairs else slice(None)
+            yield i[near], j[near]
+
+
 def near_links(groups: np.ndarray, codes: np.ndarray, most: int, sketch: np.ndarray | None = None, apart: int = 0) -> np.ndarray:
     """Roots after linking within groups; rows come sorted by group, then Gray rank. With sketches,
     a link also needs these at `apart` differing bits or fewer."""
@@ -160,12 +194,8 @@ def near_links(groups: np.ndarray, codes: np.ndarray, most: int, sketch: np.ndar
             yield i, i + d
         for a, b in zip(starts, ends, strict=True):
             if b - a > 2 * LEAF:
-                for i, j in GrayIndex(codes[a:b]).links(most, sketch is not None):
-                    i, j = i + a, j + a
-                    if sketch is not None:
-                        near = alike(i, j)
-                        i, j = i[near], j[near]
-                    yield i, j
+                for i, j in group_links(codes[a:b], most, lambda i, j, a=a: alike(i + a, j + a), sketch is not None):
+                    yield i + a, j + a
 
     return forest(len(codes), links())
 

@@ -125,6 +125,22 @@ def test_gray_index(spread):
             yield np.full(len(j), i), j
 
     assert (root == simhash.forest(len(codes), all_pairs())).all()
+    assert (root == simhash.near_links(np.zeros(len(codes), np.int64), codes, 3)).all()
+
+
+@pytest.mark.parametrize("loose", [0, 300])
+def test_large_groups(loose):
+    rng = np.random.default_rng(loose)
+    flipped = lambda x, bits: np.bitwise_xor.reduce([x, *(np.uint64(1) << np.uint64(b) for b in rng.choice(64, bits, replace=False))])
+    base = rng.integers(0, 1 << 63, (4, 5), dtype=np.uint64)
+    rows = np.array([[flipped(base[k % 4, 0], rng.integers(0, 4)), *(flipped(x, rng.integers(0, 6)) for x in base[k % 4, 1:])] for k in range(600)])
+    rows = np.concatenate([rows, np.column_stack([[flipped(base[0, 0], rng.integers(0, 8)) for _ in range(loose)], rng.integers(0, 1 << 63, (loose, 4), dtype=np.uint64)])]) if loose else rows
+    rows = rows[np.argsort(simhash.gray_rank(rows[:, 0]))]
+    codes, sketch = rows[:, 0].copy(), rows[:, 1:].copy()
+    near = [(i, np.flatnonzero((np.bitwise_count(codes ^ codes[i]) <= 7) & (np.bitwise_count(sketch ^ sketch[i]).sum(1) <= 24))) for i in range(len(codes))]
+    want = simhash.forest(len(codes), iter([(np.full(len(j), i), j) for i, j in near]))
+    assert (simhash.near_links(np.zeros(len(codes), np.int64), codes, 7, sketch, 24) == want).all()
+    assert 1 < len(set(want)) < len(codes)
 
 
 def test_components(spark):
