@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Largest serialized side (bytes) that an operator may broadcast after measuring it.
 BROADCAST_BYTES = 8 << 20
+#: Rows of an Arrow batch that are turned into Python objects at a time.
+SLICE = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,14 +51,15 @@ def small_enough(df: DataFrame, width: Column, limit: int = BROADCAST_BYTES) ->
 
 def mapped(df: DataFrame, row: Callable, schema: str, *, flat: bool = False) -> DataFrame:
     """Applies `row` to the values of each row, batch by batch through Arrow. `row` returns a
-    tuple, or an iterable of tuples if `flat`."""
+    tuple, or an iterable of tuples if `flat`. Only SLICE rows at a time are Python objects."""
     target = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            out = [y for x in values for y in row(*x)] if flat else [row(*x) for x in values]
-            yield from batches_of(out, target)
+            for at in range(0, batch.num_rows, SLICE):
+                values = zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True)
+                out = [y for x in values for y in row(*x)] if flat else [row(*x) for x in values]
+                yield from batches_of(out, target)
 
     return df.mapInArrow(run, schema)
 

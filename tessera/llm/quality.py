@@ -63,7 +63,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [counts(t) for t in batch.column("__text").to_pylist()]
+            found = [counts(t.as_py()) for t in batch.column("__text")]
             arrays = [pa.array([x[k] for x in found], pa.int64()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, *names])
 
