@@ -12,12 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, mapped, written
+from tessera.llm.common import SLICE, connected_components, mapped, small_enough, written
 
 SHINGLE, SEED, BITS = 3, 42, 64
-#: Near copies: words of a shingle, least similarity, words of the sketch that tells it, and the
-#: differing bits of the word codes within which copies are sought.
-WIDE_SHINGLE, SIMILARITY, SKETCH, WORD_BITS = 5, 0.8, 4, 7
+#: Near copies: words of a shingle, least similarity, words of the sketch that rules pairs out.
+WIDE_SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 4
+#: Candidates agree in all ROWS least hashes of one of BANDS bands: sets that are 0.8 alike do but
+#: for one pair in 300,000. The bits beyond `bits_apart` are over five standard deviations.
+BANDS, ROWS, MARGIN = 32, 5, 40
 #: Codes below a lowest node, nodes below a higher one, and queries searched at a time.
 LEAF, FAN, CHUNK = 32, 8, 1024
 #: Members of a large group that may be compared with all others in vain before the index takes over.
@@ -41,19 +43,46 @@ def majority(digests: bytes, size: int) -> bytes:
     return np.packbits(ones * 2 > len(bits)).tobytes()
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def wide_shingles(words: list[bytes]) -> set[bytes]:
+    """The set of five-word shingles; all words are one shingle if they are fewer."""
+    size = min(len(words), WIDE_SHINGLE)
+    return set(map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
+
+
 def signature(text: str | None) -> tuple[int, ...]:
     """SimHash of the set of words, 64 bits, and of the set of five-word shingles, 256 bits in four
-    numbers. The first changes little between near copies, so it finds them; the second tells how
-    similar they are."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    numbers. The second tells roughly how similar two texts are."""
+    return signed_set(words_of(text))[0]
+
+
+def signed_set(words: list[bytes]) -> tuple[tuple[int, ...], np.ndarray]:
+    """The signature, and a hash of each five-word shingle."""
     if not words:
-        return (0,) * (1 + SKETCH)
-    size = min(len(words), WIDE_SHINGLE)
-    shingles = set(map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
+        return (0,) * (1 + SKETCH), np.empty(0, np.uint64)
     one, two = xxhash.xxh64_digest, xxhash.xxh3_128_digest
     code = majority(b"".join([one(w, SEED) for w in set(words)]), 8)
-    sketch = majority(b"".join([two(s, k) for s in shingles for k in (1, 2)]), 32)
-    return tuple(np.frombuffer(code + sketch, ">i8").tolist())
+    digests = b"".join([two(s, k) for s in wide_shingles(words) for k in (1, 2)])
+    return tuple(np.frombuffer(code + majority(digests, 32), ">i8").tolist()), np.frombuffer(digests, np.uint64)[::SKETCH].copy()
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A number for each band of least hashes; equal sets have equal bands."""
+    rng = np.random.default_rng(SEED)
+    mix, factor = rng.integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for k in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[k : k + 1024] ^ mix) * (factor | np.uint64(1))).min(1))
+    return [signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in least.reshape(BANDS, ROWS)]
+
+
+def near_copy_keys(text: str | None) -> tuple:
+    """The signature, the sum of the shingles' hashes, and the bands."""
+    known, hashes = signed_set(words_of(text))
+    return *known, signed(int(hashes.sum(dtype=np.uint64))), bands(hashes)
 
 
 def bits_apart(similarity: float) -> int:
@@ -209,10 +238,9 @@ def plan_for(distinct: int, most: int) -> tuple[int, int]:
     return most + chosen, chosen
 
 
-def linked(codes: DataFrame, most: int = 3, apart: int | None = None) -> DataFrame:
+def linked(codes: DataFrame, most: int = 3) -> DataFrame:
     """Edges (a, b) between rows of `codes` (code and node, long), by node, whose closure is that of
-    all pairs at `most` differing bits or fewer. With `apart`, a pair also needs sketches (s0 to s3)
-    at so many differing bits or fewer.
+    all pairs at `most` differing bits or fewer.
 
     A key is the Gray hierarchy's top: its masked bits are shared exactly, so only codes below the
     same key can be near; each group below a key is searched by its `GrayIndex`. A group gives a
@@ -222,13 +250,18 @@ def linked(codes: DataFrame, most: int = 3, apart: int | None = None) -> DataFra
     edges = [BITS * k // blocks for k in range(blocks + 1)]
     masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in c) for c in combinations(range(blocks), chosen)]
     assert len(masks) == comb(blocks, chosen)
+    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("part"), F.col("code").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks))))
+    return searched(codes.select("code", "node", keys.alias("k")).select("code", "node", "k.part", "k.key"), most)
+
+
+def searched(rows: DataFrame, most: int, apart: int | None = None) -> DataFrame:
+    """Edges (a, b), a spanning forest of each group of `rows` (part, key, code, node). With `apart`,
+    a pair also needs sketches (s0 to s3) at so many differing bits or fewer."""
+    wanted = ["part", "key", "code", "node", *(f"s{k}" for k in range(SKETCH) if apart is not None)]
     rank = F.col("code")
     for k in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
-    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("part"), F.col("code").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks))))
-    names = ["code", "node", *(f"s{k}" for k in range(SKETCH) if apart is not None)]
-    rows = codes.select(*names, rank.alias("rank"), keys.alias("k")).select(*names, "rank", "k.part", "k.key")
-    wanted = ["part", "key", *names]
+    rows = rows.select(*wanted, rank.alias("rank"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,19 +306,80 @@ def components(docs: DataFrame, most: int = 3) -> DataFrame:
     return rows.join(grouped.select("code", "root").join(ids, "root"), "code").select("doc_id", "code", "component_id")
 
 
-def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, most: int = WORD_BITS) -> DataFrame:
+def exact_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first member of each set's group, after joining all pairs whose Jaccard similarity is
+    `similarity` or more. A component grows: its members are compared with those in no component yet."""
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    own = np.split(flat, np.cumsum(size)[:-1])
+    mark, root, loose, hundredths = np.zeros(flat.max() + 1, bool), np.arange(len(sets)), np.arange(len(sets)), round(100 * similarity)
+    while len(loose):
+        first, todo = loose[0], [loose[0]]
+        flat, loose = flat[size[first] :], loose[1:]
+        while todo and len(loose):
+            member = todo.pop()
+            mark[own[member]] = True
+            common = np.add.reduceat(mark[flat], np.append(0, np.cumsum(size[loose])[:-1]), dtype=np.int64)
+            mark[own[member]] = False
+            near = 100 * common >= hundredths * (size[member] + size[loose] - common)
+            if near.any():
+                root[loose[near]] = first
+                todo.extend(loose[near].tolist())
+                flat, loose = flat[np.repeat(~near, size[loose])], loose[~near]
+    return root
+
+
+def verified(texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the nodes of `texts` (part, node, text): within a part, nodes with texts that
+    are `similarity` alike or more have one root, the smallest node. Texts of one node belong together."""
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nodes, sets = None, [], []
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                for p, node, text in zip(*(batch.column(c).slice(at, SLICE).to_pylist() for c in ("part", "node", "text")), strict=True):
+                    if p != part:
+                        yield from grouped(nodes, sets)
+                        part, nodes, sets = p, [], []
+                    hashes = signed_set(words_of(text))[1]
+                    if len(hashes):
+                        nodes.append(node)
+                        sets.append(hashes)
+        yield from grouped(nodes, sets)
+
+    def grouped(nodes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(nodes) > 1:
+            own = np.array(nodes)  # in order, so the texts of a node are neighbours
+            same = np.flatnonzero(own[1:] == own[:-1])
+            near = exact_roots(sets, similarity)
+            places = np.arange(len(own))
+            root = own[forest(len(own), iter([(near, places), (same, same + 1)]))]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(root)], schema=schema)
+
+    return texts.repartition("part").sortWithinPartitions("part", "node").mapInArrow(compare, "node long, root long")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of `docs` for each group of near copies, the one with the smallest doc_id. Texts are
-    near copies if their sets of five-word shingles are `similarity` alike or more, as sketches of
-    256 bits tell it; candidates are all pairs whose word codes differ in `most` bits at most.
+    near copies if their sets of five-word shingles have a Jaccard similarity of `similarity` or more.
+
+    Candidates share a band, and their sketches are near enough not to rule the similarity out. The
+    sets themselves decide, within each component of candidates.
 
     Rows with a null doc_id are kept, since no id can speak for them; null and empty texts are near
     copies of each other; rows that repeat a doc_id count as one group.
     """
-    schema = ", ".join(["node long, code long", *(f"s{k} long" for k in range(SKETCH))])
-    rows = written(mapped(docs.select("doc_id", "text").where("doc_id is not null"), lambda i, t: (i, *signature(t)), schema), "signatures")
     sketch = [f"s{k}" for k in range(SKETCH)]
-    classes = rows.groupBy("code", *sketch).agg(F.min("node").alias("node"))
-    members = connected_components(linked(classes, most, bits_apart(similarity)))
+    schema = ", ".join(["node long, code long", *(f"{x} long" for x in sketch), "total long, bands array<long>"])
+    own = docs.select("doc_id", "text").where("doc_id is not null")
+    rows = written(mapped(own, lambda i, t: (i, *near_copy_keys(t)), schema), "signatures")
+    classes = rows.groupBy("code", *sketch, "total", "bands").agg(F.min("node").alias("node"))
+    keys = classes.select("code", "node", *sketch, F.posexplode("bands").alias("part", "key"))
+    loose = connected_components(searched(keys, BITS, bits_apart(similarity) + MARGIN)).select(F.col("node").alias("doc_id"), F.col("root").alias("part"))
+    if small_enough(loose, F.lit(48)):
+        loose = F.broadcast(loose)
+    members = written(verified(own.join(loose, "doc_id").select("part", F.col("doc_id").alias("node"), "text"), similarity), "near-copies")
     gone = members.where("node <> root").select(F.col("node").alias("doc_id"))
     kept = classes.select(F.col("node").alias("doc_id")).distinct().join(gone, "doc_id", "left_anti")
     first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")

@@ -337,3 +337,29 @@ def test_toxicity_odd(spark, odd, empty):
     got = toxicity.scored(odd, model)
     assert got.count() == len(odd_rows()) and set(odd.columns) < set(got.columns)
     assert toxicity.scored(empty, model).collect() == []
+
+
+def test_near_copies_exact(spark):
+    """Groups equal those of all pairs by exact similarity, also of short texts with a passage more or less."""
+    random.seed(12)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 6))) for _ in range(4000)]
+    rows = []
+    for k in range(250):
+        text = random.choices(vocabulary, k=random.randint(9, 150))
+        rows.append((10 * k, text))
+        for n in range(1, 4):
+            cut = random.randint(0, len(text) // 4)
+            at = random.randint(0, len(text) - cut)
+            copy = (text[:at] + text[at + cut :], text[:at] + random.choices(vocabulary, k=cut) + text[at:], [random.choice(vocabulary) if random.random() < 0.03 else w for w in text])[n - 1]
+            rows.append((10 * k + n, copy))
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for _, w in rows]
+    root, near = {i: i for i, _ in rows}, 0
+    for a, (i, _) in enumerate(rows):  # texts of other groups share no shingle
+        for b in range(a + 1, min(len(rows), a + 4)):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                near += 1
+                x, y = sorted((root[i], root[rows[b][0]]))
+                root = {d: x if r == y else r for d, r in root.items()}
+    assert 300 < near < 1200
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(root.values()))
