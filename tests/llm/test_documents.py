@@ -190,6 +190,23 @@ def test_pii_terms(spark):
     assert clean[0] == "Notes say that <TERM> office wrote aaaaaaaaaaaa <EMAIL> nnnnnnnnnnnn about item today" and clean[100] == rows[6][1]
 
 
+@pytest.mark.parametrize("form", ["{0} boss@corp.example", "boss@corp.example {0}", "{0} contact us at boss@corp.example"])
+def test_pii_terms_in_place(spark, form):
+    """An entity that always ends or begins the text, or has a fixed lead, counts; near copies count once."""
+    random.seed(6)
+    filler = ["".join(random.choices("bcdfghjklm", k=6)) for _ in range(300)]
+    other = lambda: " ".join(random.choices(filler, k=30))
+    rows = [(k, form.format(f"{other()} zanzibar {other()}")) for k in range(5)]
+    base = f"{other()} quagga {other()}"
+    rows += [(50 + k, f"{base} {filler[k]} copy@corp.example") for k in range(5)]
+    rows += [(100 + k, other()) for k in range(60)]
+    spans = {r.doc_id: r.spans for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(5):
+        at = rows[k][1].index("zanzibar")
+        assert f"term:{at}:{at + 8}" in spans[k]
+        assert "email" in spans[50 + k] and "term" not in spans[50 + k]
+
+
 def test_quality(spark, texts):
     got = Q["op7_quality"](spark, SF)
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
