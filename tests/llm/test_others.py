@@ -1,14 +1,11 @@
 """Pages and vectors: brute force, planted templates, and odd rows."""
 
-import html as entities
-import re
-
 import duckdb
 import numpy as np
 import pytest
 
 from tests.llm import brute
-from tessera.llm import ann, html, urls
+from tessera.llm import ann, urls
 from tessera.llm.queries import oracle_sql, queries
 
 SF = brute.SF
@@ -59,68 +56,6 @@ def test_urls_linked(spark):
     assert urls.filtered(pages.where("false")).collect() == []
 
 
-def article(page):
-    """The generated pages keep their text in <article>."""
-    m = re.search(r"<article>(.*?)(</article>|\Z)", page or "", re.S)
-    parts = re.split(r"<p>|</p>|</h1>", m[1] if m else "")
-    texts = [" ".join(entities.unescape(re.sub(r"<[a-z/][^>]*(?:>|\Z)", " ", x)).split()) for x in parts]
-    return "\n\n".join(x for x in texts if x)
-
-
-def test_articles(spark, duck):
-    got = {r.page_id: (r.url, r.text, r.n_chars) for r in Q["op6_html"](spark, SF).collect()}
-    for i, url, page in duck.sql("select page_id, url, html from pages").fetchall():
-        assert got[i] == (url, article(page), len(article(page)))
-
-
-def test_templates(spark):
-    body = "<html><head><title>T</title></head><body><div id=top>Site name</div><div class=x><h2>{0}</h2><p>{0} one.</p><div>Read more of this site</div><p>{0} two &amp; three</p></div><div>Made by us</div></body></html>"
-    rows = [(k, f"http://host.example/{k}", body.format(f"Word{k}")) for k in range(8)]
-    rows += [(100 + k, f"http://same.example/{k}", "<body><p>always this</p></body>") for k in range(4)] + [(200, "http://one.example/", body.format("Only")), (300, None, None), (301, "http://host.example/9", ""), (302, "x", "plain < text &am &copy")]
-    pages = spark.createDataFrame([(*r, 5) for r in rows], "page_id long, url string, html string, template int")
-    got = {r.page_id: r.text for r in html.articles(pages).collect()}
-    for k in range(8):
-        assert got[k] == f"Word{k}\n\nWord{k} one.\n\nWord{k} two & three"
-    assert got[100] == got[103] == "always this" and "Site name" in got[200] and "Only two" in got[200]
-    assert got[300] == got[301] == "" and got[302] == "plain < text &am ©"
-    assert html.articles(pages.where("false")).collect() == []
-
-
-@pytest.mark.parametrize(
-    ("page", "text"),
-    [
-        ("<body><nav>a</nav><article><header><h1>H</h1></header>b<br>c<p>d <i>e</i>f</p><aside>g</aside><div class='post-comments'>h</div></article><footer>i</footer></body>", "H\n\nb c\n\nd ef"),
-        ("<main><p>a<p>b<form>c</form><ul><li>d<li>e</ul></main><div>z</div>", "a\n\nb\n\nd\n\ne"),
-        ("<div class='cookie-notice'>x</div><div>y<!-- no --><script>var a='</p>'</script> z</div>", "y z"),
-        ("<p title='a>b'>c</p><p>d</p", "c\n\nd"),
-        ("<table><tr><td>a<td>b<tr><td>c</table><select><option>d</select>", "a\n\nb\n\nc"),
-        ("<p>a <span class=ad>b</span> c", "a c"),
-        ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
-        ("<p>" + "word " * 40000, ("word " * 40000).strip()),
-    ],
-)
-def test_extracted(page, text):
-    assert html.extracted(page) == text
-
-
-def test_tree_matching():
-    tree = lambda label, *children: [label, 1, [], list(children)]
-    a, b = [tree("p"), tree("div", tree("p"), tree("p")), tree("ul")], [tree("div", tree("p")), tree("p"), tree("ul")]
-    assert html.aligned(a, b) == [(1, 0), (2, 2)] and html.matches(tree("r", *a), tree("r", *b)) == 4
-
-
-def test_matching_stays_small():
-    deep = lambda odd: "".join(f"<div class=c{k % 3}><p>x</p><ul class=u{odd if k % 2 else 0}></ul>" for k in range(400))
-    a, b = (html.skeleton(html.parsed(deep(k))) for k in (1, 2))
-    whole = html.merged(a, b)
-    assert whole[1] == 2 and html.extracted(deep(3), html.template(whole)) is not None
-    wide = [html.skeleton(html.parsed("".join(f"<div class=k{k}-{n}>t</div>" for n in range(900)))) for k in range(12)]
-    held = wide[0]
-    for w in wide[1:]:
-        held = html.trimmed(html.merged(held, w))
-    assert html.nodes_in(held) < 20_000 and held[1] == 12
-
-
 def neighbours(rows, every=20, k=20):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
     out = {}
