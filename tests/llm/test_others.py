@@ -56,6 +56,33 @@ def test_urls_linked(spark):
     assert urls.filtered(pages.where("false")).collect() == []
 
 
+MORE = [
+    (1, "http://a1.example.com/en/x", '<link rel=canonical href="http://a1.example.com/en/y"><LINK class=k rel="alternate CANONICAL" href="http://bad.net/p">'),  # the second link counts
+    (2, "http://a2.example.com/dir/page?x=1", "<meta content='0; url=next.html' http-equiv='Refresh'>"), (3, "http://a2.example.com/dir/next.html", '<link rel="canonical" href="../de/7">'),  # relative to the page
+    (4, "http://a3.example.com/b", '<meta http-equiv=refresh content="5;URL=&quot;?p=2&quot;">'), (5, "http://a3.example.com/b?p=2", '<link rel=canonical href="&#x2f;&#x2f;worse.net&#47;z">'),
+    (6, "HTTP://C2.org/p", '<link rel=canonical href="http://w.net/">'), (7, "http://c2.ORG/p#part", ""),  # one node, whatever the case and fragment
+    (8, "http://a4.example.com/x", '<link rel=canonical data-href="http://w.net/">'), (9, "http://a5.example.com/x", '<link title=" rel=canonical href=http://w.net/ " rel=icon href=/i>'),
+    (10, "http://a6.example.com/x", "<!-- <link rel=canonical href=http://w.net/> --><script>'<link rel=canonical href=http://w.net/>'</script>"),
+    (11, "http://a7.example.com/x", '<link rel=canonical href="/r?to=http://w.net/">'), (12, "http://a7.example.com", '<link rel="canonical" href="./de/../de/./q">'),
+    (13, "http://a8.example.com/x", '<link rel=canonical href="mailto:a@w.net"><link rel=canonical href="#top"><link rel=canonical href=""><link rel=canonical>'),
+    (14, "http://long.example.com/" + "x" * 50000, "y" * 300000 + "<link rel=canonical " + "k=v " * 20000 + "href=http://w.net/q>"),
+    (15, "http://a9.example.com/a/b/c/..", '<link rel=canonical href="../../../de/">'), (16, "http://b1.example.com/a", '<link rel=canonical href="http://hub.example.com/">'),
+    *((100 + k, f"http://s{k}.example.com/", '<link rel=canonical href="http://HUB.example.com">') for k in range(400)), (17, "http://hub.example.com/", '<meta http-equiv="refresh" content="0;http://z.net/">'),
+]
+
+
+def test_urls_all_links(spark):
+    """Several links, relative ones, references, case, long addresses and pages, a hub; as the SQL has it."""
+    pages = spark.createDataFrame(MORE, "page_id long, url string, html string")
+    got = urls.filtered(pages)
+    blocked = {r.page_id for r in got.collect() if r.verdict == "block"}
+    assert blocked == {1, 2, 3, 4, 5, 6, 7, 12, 14, 15, 16, 17, *range(100, 500)}
+    c = duckdb.connect()
+    c.sql("create table pages (page_id bigint, url varchar, html varchar)")
+    c.executemany("insert into pages values (?, ?, ?)", MORE)
+    assert rows_of(got, "page_id", "host", "path", "rule", "verdict") == sorted(c.sql(oracle_sql()["op3_url_filter"]).fetchall(), key=repr)
+
+
 def neighbours(rows, every=20, k=20):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
     out = {}
