@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mapped, written
+from tessera.llm.common import BROADCAST_BYTES, mapped, written
 
 #: Words in a block, output shards, rounds of the permutation, parts of a source's word count.
 BLOCK, SHARDS, ROUNDS, PARTS = 64, 64, 16, 1024
@@ -38,8 +38,8 @@ def targets(sizes: list[int], weights=WEIGHTS, percent: int = PERCENT, most: int
 
 
 def drawn(quota: list[int], shards: int, seed: int = 0) -> np.ndarray:
-    """Slots by shard and source: multinomial draws from what the quotas still hold, so that the
-    shards together hold each quota exactly."""
+    """Slots by shard and source. Each shard's counts are a multinomial draw by what the quotas still
+    hold, so shards differ by chance, and all of them together hold each quota."""
     rng, left = np.random.default_rng(seed), np.array(quota, np.int64)
     out = np.zeros((shards, len(quota)), np.int64)
     for shard in range(shards):
@@ -89,33 +89,35 @@ def placed(rows: DataFrame) -> DataFrame:
     return joined.select("key", "doc_id", "source", "size", (F.col("offset") + F.col("inside")).alias("start"))
 
 
-def slots(spark, plan: list[tuple[int, int, int, int]]) -> DataFrame:
-    """(idx, block, times): how often each block is drawn. plan: source, its blocks, first slot and
-    slots, for each shard. Slot k of a source is block permutation(k mod n) of pass k div n."""
-    piece = 1 << 16
-    ranges = spark.createDataFrame(plan, "idx int, n long, start long, count long").where("count > 0")
-    ranges = ranges.select("idx", "n", F.explode(F.expr(f"transform(sequence(0L, (count - 1) div {piece}), i -> struct(start + i * {piece} as a, start + least(count, (i + 1) * {piece}) as b))")).alias("r")).select("idx", "n", "r.a", "r.b").repartition(F.col("idx"), F.col("a"))
-    schema = pa.schema([("idx", pa.int32()), ("block", pa.int64())])
+def slots(spark, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """(idx, block, shards): the shards that each drawn block goes to, at most MOST. plan: source, its
+    blocks, shard, first slot and slots. Slot k of a source is block permutation(k mod n) of pass k div n."""
+    piece, tasks = 1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = spark.createDataFrame(plan, "idx int, n long, shard int, start long, count long")
+    ranges = ranges.select("idx", "n", "shard", F.explode(F.expr(f"transform(sequence(0L, (count - 1) div {piece}), i -> struct(start + i * {piece} as a, start + least(count, (i + 1) * {piece}) as b))")).alias("r")).select("idx", "n", "shard", "r.a", "r.b").repartition(tasks, "idx", "a")
+    schema = pa.schema([("idx", pa.int32()), ("block", pa.int64()), ("shard", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for idx, n, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for idx, n, shard, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 k = np.arange(a, b)
                 block = np.empty(len(k), np.int64)
                 for turn in range(a // n, (b - 1) // n + 1):
                     now = k // n == turn
                     block[now] = permuted(k[now] % n, n, idx * 4 + turn)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), idx, np.int32)), pa.array(block)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), idx, np.int32)), pa.array(block), pa.array(np.full(len(k), shard, np.int32))], schema=schema)
 
-    return ranges.mapInArrow(run, "idx int, block long").groupBy("idx", "block").agg(F.count("*").alias("times"))
+    return ranges.mapInArrow(run, "idx int, block long, shard int").groupBy("idx", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
 
 
-def mixture(docs: DataFrame, weights=WEIGHTS, percent: int = PERCENT, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, weights=WEIGHTS, percent: int = PERCENT, shards: int = SHARDS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Rows (key, doc_id, source, size, start, idx, source_size, target) and drawn parts of them
-    (idx, start, first, last, times): words first to last (exclusive) of the row that starts there.
+    (idx, start, first, last, shards): words first to last (exclusive) of the row that starts there,
+    and the output shards that they go to.
 
     Null sources are a source, the last one; null texts have no words; sources without words have
-    the target 0. Rows that are equal in all columns have places of their own. Only one row for
+    the target 0. Rows that are equal in all columns have places of their own; columns other than
+    doc_id, source and text don't matter; an empty table gives nothing. Only one row for
     each source comes to the driver.
     """
     spark = docs.sparkSession
@@ -126,32 +128,43 @@ def mixture(docs: DataFrame, weights=WEIGHTS, percent: int = PERCENT, shards: in
     goal = targets(sizes, weights, percent)
     blocks = [-(-s // BLOCK) for s in sizes]
     quota = [min(MOST * b, round(g * b / s)) if s else 0 for g, b, s in zip(goal, blocks, sizes, strict=True)]
-    counts = drawn(quota, shards, zlib.crc32(repr(sizes).encode()))
+    counts = drawn(quota, shards, zlib.crc32(repr((sizes, seed)).encode()))
     first = np.cumsum(counts, 0) - counts
-    plan = [(i, blocks[i], int(first[j, i]), int(counts[j, i])) for j in range(len(counts)) for i in range(len(quota))]
+    plan = [(int(i), blocks[i], int(j), int(first[j, i]), int(counts[j, i])) for j, i in zip(*counts.nonzero(), strict=True)]
     table = spark.createDataFrame([(i, None if null else s, n, g) for i, ((null, s, n), g) in enumerate(zip(order, goal, strict=True))], "idx int, s string, source_size long, target double")
-    whole = placed(rows)
-    whole = written(whole.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "places")  # a row a source
+    if sum(len(x[1]) + 32 for x in order) <= BROADCAST_BYTES:  # a row a source
+        table = F.broadcast(table)
+    whole = written(placed(rows).join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "places")
     cut = whole.where("size > 0").select("idx", "start", "size", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("block"))
     cut = cut.join(slots(spark, plan), ["idx", "block"])
     low, high = F.greatest("start", F.col("block") * BLOCK), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    return whole, cut.select("idx", "start", (low - F.col("start")).alias("first"), (high - F.col("start")).alias("last"), "times")
+    return whole, cut.select("idx", "start", (low - F.col("start")).alias("first"), (high - F.col("start")).alias("last"), "shards")
 
 
-def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row."""
-    whole, parts = mixture(docs)
-    words = parts.groupBy("idx", "start").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
+def taken(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, size, source_size, target, taken and shards (the output shards that hold words of it, in
+    order) of every row. The cases of `mixture` apply; an empty table gives no rows."""
+    whole, parts = mixture(docs, seed=seed)
+    shards = F.array_union(F.collect_set(F.get("shards", F.lit(0))), F.collect_set(F.get("shards", F.lit(1))))  # no more than there are shards
+    words = parts.groupBy("idx", "start").agg(F.sum((F.col("last") - F.col("first")) * F.size("shards")).alias("taken"), F.sort_array(shards).alias("shards"))
     some = whole.where("size > 0").join(words, ["idx", "start"], "left")
-    out = some.unionByName(whole.where("size = 0").withColumn("taken", F.lit(None).cast("long")))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    out = some.unionByName(whole.where("size = 0"), allowMissingColumns=True)
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+
+
+def sharded(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The mix by output shard: shard, doc_id, source, first, last: words first to last (exclusive) of
+    the row go to the shard. Rows with the same id keep apart by their own columns key and start."""
+    whole, parts = mixture(docs, seed=seed)
+    rows = whole.where("size > 0").select("idx", "start", "key", "doc_id", "source")
+    return parts.join(rows, ["idx", "start"]).select(F.explode("shards").alias("shard"), "doc_id", "source", "first", "last", "key", "start")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of `docs` of which the mix takes words, with the taken words as text (its n_chars
     follow, if there is such a column): a part taken twice comes a second time after all others."""
     whole, parts = mixture(docs)
-    lists = parts.groupBy("idx", "start").agg(F.sort_array(F.collect_list(F.struct("first", "last", "times"))).alias("__parts"))  # of one row's blocks
+    lists = parts.groupBy("idx", "start").agg(F.sort_array(F.collect_list(F.struct("first", "last", F.size("shards").alias("times")))).alias("__parts"))  # of one row's blocks
     same = Window.partitionBy("__key", "__of")
     chosen = whole.where("size > 0").join(lists, ["idx", "start"]).select(F.col("key").alias("__key"), F.col("doc_id").alias("__of"), F.row_number().over(Window.partitionBy("key", "doc_id").orderBy("start")).alias("__copy"), "__parts")
     rows = docs.withColumns({"__key": F.xxhash64("doc_id", "source", "text"), "__of": F.col("doc_id")}).withColumn("__copy", F.row_number().over(same.orderBy("__of")))
@@ -174,4 +187,6 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """What the mix takes of every document, and the shards it goes to (comma-joined). Null, empty and
+    very long texts, null sources, repeated rows, empty tables, further columns: see `mixture`."""
+    return taken(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("shards", F.array_join("shards", ","))

@@ -1,6 +1,7 @@
 """The operators on documents against plain versions, over whole small tables and odd rows."""
 
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -311,6 +312,53 @@ def test_mixing(spark, texts):
     check_mix(named, [(r.doc_id, r.source, r.size) for r in named])
 
 
+def test_mixing_plain(spark):
+    """Words and shards against a plain packing, draw and permutation; another seed gives other shards."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in mixing.sized(docs).select("key", "doc_id", "source", "size").collect()]
+    order = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r[3] for r in rows if r[2] == s) for s in order]
+    goal, blocks = mixing.targets(sizes), [-(-n // mixing.BLOCK) for n in sizes]
+    quota = [min(mixing.MOST * b, round(g * b / s)) if s else 0 for g, b, s in zip(goal, blocks, sizes, strict=True)]
+
+    def bits(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def permuted(x, n, key):
+        for r in range(mixing.ROUNDS):
+            salt = bits((key * 64 + r + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            mirror = (salt % n - x) % n
+            x = mirror if bits((max(x, mirror) + salt) % 2**64) & 1 else x
+        return x
+
+    def plain(seed):
+        counts, out = mixing.drawn(quota, mixing.SHARDS, zlib.crc32(repr((sizes, seed)).encode())), []
+        for i, s in enumerate(order):
+            to, slot = {}, 0
+            for shard in range(mixing.SHARDS):
+                for _ in range(counts[shard][i]):
+                    to.setdefault(permuted(slot % blocks[i], blocks[i], i * 4 + slot // blocks[i]), []).append(shard)
+                    slot += 1
+            start = 0
+            for key, doc, _, size in sorted((r for r in rows if r[2] == s), key=lambda r: (r[0] % mixing.PARTS, r[0], r[1], r[3])):
+                got = [to.get((start + w) // mixing.BLOCK, []) for w in range(size)]
+                out.append((doc, size, sizes[i], goal[i], sum(map(len, got)), sorted({x for g in got for x in g})))
+                start += size
+        return out
+
+    first = plain(0)
+    assert rows_of(mixing.taken(docs)) == sorted(first, key=repr)
+    other = plain(1)
+    assert rows_of(mixing.taken(docs, 1)) == sorted(other, key=repr) and {r[0]: r[5] for r in first} != {r[0]: r[5] for r in other}
+    assert len({x for r in first for x in r[5]}) == mixing.SHARDS
+    by = {}
+    for r in mixing.sharded(docs).collect():
+        by[r.doc_id] = by.get(r.doc_id, 0) + r["last"] - r["first"]
+    assert by == {r[0]: r[4] for r in first if r[4]}
+
+
 def test_mixing_odd(odd, empty):
     rows = mixing.taken(odd).collect()
     assert sorted(((r.doc_id, r.size) for r in rows), key=repr) == sorted(((i, brute.quality_counts(t)[0]) for i, t in odd_rows()), key=repr)
