@@ -1,4 +1,11 @@
-"""Byte-level BPE: an encoder that emits tokens once they are stable, and an incremental decoder."""
+"""Byte-level BPE: a transducer that emits tokens once they are stable, and an incremental decoder.
+
+From the merge list comes, for each token, how many bytes from its start decide whether it forms.
+The transducer's state is the bytes of a piece that aren't settled. Each step takes in at most
+PORTION characters, and the first token goes out as soon as the state is long enough to decide
+about every token that its bytes may begin. So the state never grows beyond the longest lookahead
+and a portion, however long a piece or text is.
+"""
 
 from __future__ import annotations
 
@@ -20,10 +27,11 @@ from tessera.llm.common import mapped
 #: Fixed value: the public pattern that cuts a text into pieces before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
-#: Characters taken in at a time; a piece beyond LONG characters is encoded as it comes.
-CHUNK, LONG = 1 << 16, 2048
-#: Pieces whose encoding is remembered, and characters of the longest of them.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+SHORT_FORMS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
+#: Characters of a text taken in at a time, and of a piece in one step of the transducer.
+CHUNK, PORTION = 1 << 16, 8
+#: Steps that are remembered.
+REMEMBERED = 300_000
 #: Bits of a token id, and of a rule the part that is one; no rule; bytes up to which a list beats a heap.
 RESULT_BITS, RESULT, NONE, SHORT = 32, (1 << 32) - 1, 1 << 62, 48
 
@@ -36,7 +44,8 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Tokens as bytes, merges by rank, special tokens, and the lookahead that suffices."""
+    """Tokens as bytes, merges by rank, special tokens, and the lookahead that suffices: `decide` bytes
+    for each token, `beyond` for the most of all longer tokens with a beginning, `lookahead` for the most of all."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -53,14 +62,21 @@ class Vocabulary:
             self.merges.setdefault((left, right), rank << RESULT_BITS | ids[self.tokens[left] + self.tokens[right]])
         self.tokens |= {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.lookahead = self._lookahead()
+        self.decide = self._lookahead()
+        self.lookahead = max(self.decide.values())
+        self.beyond: dict[bytes, int] = {}
+        for token, n in self.decide.items():
+            for k in range(1, len(token)):
+                if self.beyond.get(token[:k], 0) < n:
+                    self.beyond[token[:k]] = n
+        self.longest = max(map(len, self.decide))
         size = max(self.tokens) + 1
         self.lengths = np.array([len(self.tokens.get(i, b"")) for i in range(size)], np.int64)
         self.starts = np.append(0, np.cumsum(self.lengths)[:-1])
         self.blob = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
 
-    def _lookahead(self) -> int:
-        """Bytes after a token's start that decide whether it forms and stays.
+    def _lookahead(self) -> dict[bytes, int]:
+        """Bytes from a token's start on that decide whether it forms, for each token.
 
         A token y that is due to merge at rank r forms unless its last part is taken first by what
         follows: for a part s on y's right edge, a rule (s, z) ranked before s joins its own
@@ -69,7 +85,7 @@ class Vocabulary:
         """
         made: dict[int, tuple[int, int]] = {}  # token: right part, rank
         by_left: dict[int, tuple[list[int], list[int]]] = {}  # left part: ranks, running maxima of need
-        longest = 0
+        decide = {self.tokens[i]: 1 for i in self.of_byte}
         for (left, right), rule in sorted(self.merges.items(), key=lambda kv: kv[1]):
             rank, out = rule >> RESULT_BITS, rule & RESULT
             need, part, before = 0, right, rank
@@ -85,8 +101,31 @@ class Vocabulary:
             ranks.append(rank)
             most.append(max(need, most[-1] if most else 0))
             made.setdefault(out, (right, rank))
-            longest = max(longest, need + len(self.tokens[left]))
-        return longest
+            token = self.tokens[out]
+            decide[token] = max(decide.get(token, 0), need + len(self.tokens[left]))
+        return decide
+
+    def enough(self, data: bytes) -> bool:
+        """Whether `data`, unsettled bytes from a token's start on, decides about its first token: about
+        every token that it begins with or that may begin with it."""
+        n = len(data)
+        if self.beyond.get(data, 0) > n:
+            return False
+        get = self.decide.get
+        return all(get(data[:k], 0) <= n for k in range(1, min(n, self.longest) + 1))
+
+    def settled(self, data: bytes, ended: bool) -> tuple[list[int], bytes]:
+        """The ids that nothing after `data` can change, and the bytes that are left; all if the piece
+        has ended. What follows a settled token is merged as if it stood alone."""
+        if not ended and not self.enough(data):
+            return [], data
+        ids, n, at = self.merged(data), 0, 0
+        if ended:
+            return ids, b""
+        while n < len(ids) and self.enough(data[at:]):
+            at += int(self.lengths[ids[n]])
+            n += 1
+        return ids[:n], data[at:]
 
     def merged(self, data: bytes) -> list[int]:
         """Token ids of one piece: the pair of least rank merges first, the leftmost of equals."""
@@ -126,15 +165,41 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
-class Memory(dict):
-    """Packed ids of pieces, made when first asked for; bounded."""
+class Steps(dict):
+    """Steps of the transducer: (state, portion, whether the piece ends) to packed ids and the next
+    state; made when first asked for; bounded. `whole` holds those of pieces of one portion."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+        self.v, self.whole, self.ahead = vocabulary, Whole(self), 0
+
+    def __missing__(self, key: tuple[bytes, str, bool]) -> tuple[bytes, bytes]:
+        state, portion, ended = key
+        ids, rest = self.v.settled(state + portion.encode("utf-8", "surrogatepass"), ended)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = got = (packed(ids), rest)
+        return got
+
+    def run(self, state: bytes, text: str, ended: bool) -> tuple[bytes, bytes]:
+        """Takes in a part of a piece, portion by portion."""
+        out = []
+        for k in range(0, max(1, len(text)), PORTION):
+            got, state = self[state, text[k : k + PORTION], ended and k + PORTION >= len(text)]
+            if got:
+                self.ahead += not ended or k + PORTION < len(text)  # ids that went out before the piece's end
+                out.append(got)
+        return b"".join(out), state
+
+
+class Whole(dict):
+    """Packed ids of pieces from their first to their last portion; only those of one are kept."""
+
+    def __init__(self, steps: Steps):
+        self.steps = steps
 
     def __missing__(self, piece: str) -> bytes:
-        got = packed(self.v.merged(piece.encode("utf-8", "surrogatepass")))
-        if len(piece) <= REMEMBERED_LENGTH:
+        got, _ = self.steps.run(b"", piece, True)
+        if len(piece) <= PORTION:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[piece] = got
@@ -143,16 +208,17 @@ class Memory(dict):
 
 class Encoder:
     """A transducer: `feed` takes text in any portions and returns the packed ids that no later
-    text can change; `flush` returns the rest. What it holds back is bounded by LONG characters
-    and the vocabulary's lookahead, not by the text or a piece of it."""
+    text can change; `flush` returns the rest. What it holds back is bounded by the vocabulary's
+    lookahead, a portion, and the length of a special token, not by the text or a piece of it."""
 
-    def __init__(self, vocabulary: Vocabulary, memory: Memory | None = None):
-        self.v, self.piece = vocabulary, (Memory(vocabulary) if memory is None else memory).__getitem__
+    def __init__(self, vocabulary: Vocabulary, steps: Steps | None = None):
+        self.v, self.steps = vocabulary, Steps(vocabulary) if steps is None else steps
+        self.piece = self.steps.whole.__getitem__
         self.hold = max((len(s) - 1 for s in vocabulary.special), default=0)
         self._reset()
 
     def _reset(self) -> None:
-        self.text, self.plain, self.run, self.raw = "", "", None, b""
+        self.text, self.plain, self.run, self.state = "", "", None, b""
 
     def feed(self, text: str) -> bytes:
         self.text += text
@@ -178,16 +244,16 @@ class Encoder:
         return b"".join(out) + (b"" if last else self._pieces(False))
 
     def _pieces(self, last: bool) -> bytes:
-        """A piece is settled if it ends over two characters before the end of what has come."""
+        """A piece is settled if it ends over two characters before the end of what has come; of a run
+        that goes on, what has come is taken in."""
         out, s = [], self.plain
         if self.run is not None:
             m = self.run.match(s)
             end = m.end() if m else 0
             if self.run is _SPACE and (end < len(s) or not last):  # its last character may belong to what follows
                 end = max(0, end - 1)
-            open_end = len(s) - (self.run is _SPACE)
-            ended = last or end < open_end
-            out.append(self._stable(s[:end], ended))
+            ended = last or end < len(s) - (self.run is _SPACE)
+            out.append(self._taken(s[:end], ended))
             s = s[end:]
             if not ended:
                 self.plain = s
@@ -202,30 +268,19 @@ class Encoder:
             settled -= len(pieces.pop())
         out += map(self.piece, pieces)
         s = s[settled:]
-        if len(s) > LONG and (m := PIECES.match(s)) and m.end() > LONG // 2:
+        m = PIECES.match(s)
+        if m and m.end() > 2 and m[0] not in SHORT_FORMS:  # three characters tell what kind of run it is
             space = m[0].isspace()
             self.run = _SPACE if space else next(r for r in RUNS if r.match(s, 1 if s[0] == " " else 0))
-            self.raw, end = b"", m.end() - space
-            out.append(self._stable(s[:end], False))
-            self.plain = s[end:]
-            return b"".join(out)
+            end = m.end() - space
+            out.append(self._taken(s[:end], False))
+            s = s[end:]
         self.plain = s
         return b"".join(out)
 
-    def _stable(self, more: str, ended: bool) -> bytes:
-        self.raw += more.encode("utf-8", "surrogatepass")
-        return self._settled(self.raw, ended)
-
-    def _settled(self, data: bytes, ended: bool) -> bytes:
-        """Ids of `data` that end a lookahead before its end, or all if the piece has ended."""
-        ids = self.v.merged(data)
-        if ended:
-            self.raw = b""
-            return packed(ids)
-        ends = np.cumsum(self.v.lengths[ids])
-        n = int(np.searchsorted(ends, len(data) - self.v.lookahead, "right"))
-        self.raw = data[int(ends[n - 1]) :] if n else data
-        return packed(ids[:n])
+    def _taken(self, text: str, ended: bool) -> bytes:
+        got, self.state = self.steps.run(self.state, text, ended)
+        return got
 
 
 _SPACE = regex.compile(r"\s+")
@@ -259,14 +314,14 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @lru_cache(2)
-def remembered(path: str) -> Memory:
-    """One memory a worker, whatever the number of its tasks."""
-    return Memory(vocabulary(path))
+def remembered(path: str) -> Steps:
+    """One memory of steps a worker, whatever the number of its tasks."""
+    return Steps(vocabulary(path))
 
 
-def encoded(v: Vocabulary, text: str | None, memory: Memory | None = None) -> Iterator[bytes]:
+def encoded(v: Vocabulary, text: str | None, steps: Steps | None = None) -> Iterator[bytes]:
     """Packed ids (little-endian, unsigned, 32 bits) of a text, in portions."""
-    encoder, text = Encoder(v, memory), text or ""
+    encoder, text = Encoder(v, steps), text or ""
     last = max(0, len(text) - 1) // CHUNK * CHUNK
     for k in range(0, last, CHUNK):
         yield encoder.feed(text[k : k + CHUNK])
@@ -275,11 +330,13 @@ def encoded(v: Vocabulary, text: str | None, memory: Memory | None = None) -> It
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null counts as empty; equal rows
-    give equal results. Each text is one row, and its ids never stand whole in memory."""
+    give equal results; an empty table gives none; other columns don't matter. Each text is one row,
+    and its ids never stand whole in memory."""
+
     def row(doc_id: int, text: str | None) -> tuple:
-        v, memory = vocabulary(path), remembered(path)
+        v, steps = vocabulary(path), remembered(path)
         decoder, ids, plain, n = Decoder(v), hashlib.sha256(), hashlib.sha256(), 0
-        for portion in encoded(v, text, memory):
+        for portion in encoded(v, text, steps):
             ids.update(portion)
             n += len(portion) // 4
             plain.update(decoder.feed(np.frombuffer(portion, "<u4")).encode())
@@ -296,4 +353,6 @@ def default_path() -> str:
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document. Null, empty and very long texts, repeated rows, empty
+    tables, further columns: see `round_trip`."""
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_path())

@@ -1,5 +1,6 @@
 """The operators on documents against plain versions, over whole small tables and odd rows."""
 
+import json
 import random
 import zlib
 
@@ -256,13 +257,50 @@ def test_bpe_streams(tokenizer, chunk):
         for k in range(0, len(text), chunk):
             ids += (part := encoder.feed(text[k : k + chunk]))
             out += decoder.feed(np.frombuffer(part, "<u4"))
-            assert len(encoder.text) + len(encoder.plain) + len(encoder.raw) <= 4 * (bpe.LONG + chunk) + v.lookahead
+            assert len(encoder.text) <= encoder.hold and len(encoder.plain) <= chunk + 6 and len(encoder.state) < v.lookahead
         ids += (part := encoder.flush())
         out += decoder.feed(np.frombuffer(part, "<u4")) + decoder.flush()
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
         assert out == text
 
 
+def test_bpe_goes_by_its_lookahead(texts):
+    """Tokens go out before the ends of their pieces, on plain text as well."""
+    v = bpe.vocabulary(bpe.default_path())
+    steps = bpe.Steps(v)
+    n = sum(len(p) // 4 for _, t in texts for p in bpe.encoded(v, t, steps))
+    assert steps.ahead > n / 200
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_bpe_lookahead_suffices(tmp_path, seed):
+    """Any merge list: what goes out early is what merging the whole piece gives."""
+    random.seed(seed)
+    names = {b: c for c, b in bpe.byte_alphabet().items()}
+    tokens = [names[b] for b in range(256)]
+    letters = [names[ord(c)] for c in ("ab", "abc", "abcd")[seed % 3]]
+    known, merges = list(letters), []
+    for _ in range((10, 40, 120)[seed // 4]):
+        a, b = random.choice(known), random.choice(known)
+        if a + b not in tokens and len(a + b) < 12:
+            tokens.append(a + b)
+            known.append(a + b)
+            merges.append(f"{a} {b}")
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": merges}, "added_tokens": []}))
+    v = bpe.Vocabulary(str(path))
+    steps = bpe.Steps(v)
+    for _ in range(400):
+        piece = "".join(random.choices(letters, k=random.randint(1, 60)))
+        out, state = b"", b""
+        for c in piece:
+            got, state = steps.run(state, c, False)
+            out += got
+            assert len(state) < v.lookahead
+        out += steps.run(state, "", True)[0]
+        assert np.frombuffer(out, "<u4").tolist() == v.merged(piece.encode())
+
+
 def test_decoder_cuts_characters(tokenizer):
     v = bpe.vocabulary(bpe.default_path())
     ids, decoder = tokenizer.encode("漢🙂é" * 5, add_special_tokens=False).ids, bpe.Decoder(v)
