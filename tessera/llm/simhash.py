@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
-from math import acos, comb, pi
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SLICE, connected_components, mapped, small_enough, written
@@ -20,10 +19,12 @@ WIDE_SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 4
 #: Candidates agree in all ROWS least hashes of one of BANDS bands: sets that are 0.8 alike do but
 #: for one pair in 300,000. The bits beyond `bits_apart` are over five standard deviations.
 BANDS, ROWS, MARGIN = 32, 5, 40
-#: Codes below a lowest node, nodes below a higher one, and queries searched at a time.
-LEAF, FAN, CHUNK = 32, 8, 1024
-#: Members of a large group that may be compared with all others in vain before the index takes over.
-VAIN = 64
+#: Codes below a lowest node, nodes below a higher one, queries searched at a time, and pairs of query
+#: and node held at a time.
+LEAF, FAN, CHUNK, WIDTH = 16, 8, 4096, 1 << 17
+#: Codes meant for a task, codes of the sample in a range of the Gray order, and followers in a band
+#: that are compared in all bands at once.
+CELL, SAMPLE, NEIGHBOURS = 500_000, 64, 64
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -104,12 +105,14 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Codes in Gray order; a node knows the bits that all codes below it share (mask, pattern)."""
+    """Codes in Gray order; a node knows the bits that all codes below it share (mask, pattern). The
+    search goes from the root down and drops a node with all below it once the differences from the
+    bits that it shares exceed what is allowed, or all below belong to the query's group already."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
+        self.codes, self.root = codes, np.arange(len(codes))
         ones, zeros, size, self.levels = codes, ~codes, LEAF, []
-        while True:
+        while len(codes):
             cut = np.arange(0, len(ones), size)
             ones, zeros = np.bitwise_and.reduceat(ones, cut), np.bitwise_and.reduceat(zeros, cut)
             self.levels.append((ones | zeros, ones))  # shared bits, and which of them are 1
@@ -117,174 +120,259 @@ class GrayIndex:
                 break
             size = FAN
         self.spans = [LEAF * FAN**k for k in range(len(self.levels))]
-
-    def links(self, most: int, pairs: bool = False, ask: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Links that join codes at `most` differing bits or fewer: every such pair is linked directly
-        or, unless `pairs`, through a node whose codes are all that near to each other. With `ask`
-        (places), only pairs with one of these need a link."""
-        asked = np.arange(len(self.codes)) if ask is None else ask
-        tight = []
-        for (mask, _), span in zip(self.levels, self.spans, strict=True):
-            near = (np.bitwise_count(~mask) <= most) & (not pairs)
-            tight.append(near)
-            for node in np.flatnonzero(near):  # all below differ in the free bits at most
-                j = np.arange(node * span + 1, min(len(self.codes), (node + 1) * span))
-                yield np.full(len(j), node * span), j
-        for start in range(0, len(asked), CHUNK):
-            q = asked[start : start + CHUNK]
-            n = np.zeros(len(q), np.int64)
-            for level in range(len(self.levels) - 1, -1, -1):
+        self.visited = self.pruned = self.compared = 0  # nodes met, nodes dropped, pairs compared
+
+    def _groups(self) -> list[np.ndarray]:
+        """For each node of each level the group that all codes below are in, or -1."""
+        low, high, out, size = self.root, self.root, [], LEAF
+        for _ in self.levels:
+            cut = np.arange(0, len(low), size)
+            low, high, size = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), FAN
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def join(self, most: int, others: np.ndarray | None = None) -> np.ndarray:
+        """Unites the groups of codes that differ in `most` bits or fewer, and in half of that in the
+        upper half: the codes with each other, or with `others`. Returns the group of each query."""
+        n = len(self.codes)
+        asked = self.codes if others is None else others
+        place = np.arange(len(asked)) if others is None else np.arange(n, n + len(asked))
+        codes = self.codes if others is None else np.concatenate([self.codes, others])
+        root = self.root if others is None else np.concatenate([self.root, place])
+        start, size = 0, 64
+        while start < len(asked) and n:
+            groups = self._groups()
+            todo = [(len(self.levels) - 1, place[start : start + size], np.zeros(len(place[start : start + size]), np.int64))]
+            start, size = start + size, min(2 * size, CHUNK)  # small at first: a large group is soon known
+            while todo:
+                level, q, node = todo.pop()
+                if len(q) > WIDTH:
+                    todo += [(level, q[WIDTH:], node[WIDTH:]), (level, q[:WIDTH], node[:WIDTH])]
+                    continue
                 mask, ones = self.levels[level]
-                differ = np.bitwise_count((self.codes[q] ^ ones[n]) & mask[n])  # shared factors of a path add up here
-                keep = differ <= most
-                if ask is None:  # the other end of a pair comes later
-                    keep &= np.minimum(len(self.codes), (n + 1) * self.spans[level]) > q + 1
-                q, n, differ = q[keep], n[keep], differ[keep]
-                whole = (differ + np.bitwise_count(~mask[n]) <= most) & tight[level][n]
-                if whole.any():
-                    first = n[whole] * self.spans[level]
-                    a, b = np.minimum(q[whole], first), np.maximum(q[whole], first)
-                    yield a[a != b], b[a != b]
-                    q, n = q[~whole], n[~whole]
+                differ = (codes[q] ^ ones[node]) & mask[node]
+                keep = (np.bitwise_count(differ) <= most) & (np.bitwise_count(differ >> np.uint64(BITS // 2)) <= most // 2) & (groups[level][node] != root[q])
+                if others is None:  # the other end of a pair comes later
+                    keep &= np.minimum(n, (node + 1) * self.spans[level]) > q + 1
+                self.visited += len(q)
+                q, node = q[keep], node[keep]
+                self.pruned += int(len(keep) - len(q))
                 if level:
                     below = len(self.levels[level - 1][0])
-                    q, n = np.repeat(q, FAN), (n[:, None] * FAN + np.arange(FAN)).ravel()
-                    q, n = q[n < below], n[n < below]
-            for k in range(0, len(q), 1 << 15):
-                i, j = np.repeat(q[k : k + (1 << 15)], LEAF), (n[k : k + (1 << 15), None] * LEAF + np.arange(LEAF)).ravel()
-                inside = (j < len(self.codes)) & (j > i if ask is None else j != i)
+                    q, node = np.repeat(q, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
+                    todo.append((level - 1, q[node < below], node[node < below]))
+                    continue
+                i, j = np.repeat(q, LEAF), (node[:, None] * LEAF + np.arange(LEAF)).ravel()
+                inside = (j < n) & ((j > i) if others is None else True)
                 i, j = i[inside], j[inside]
-                near = np.bitwise_count(self.codes[i] ^ self.codes[j]) <= most
-                yield i[near], j[near]
+                self.compared += len(i)
+                near = np.bitwise_count(codes[i] ^ codes[j]) <= most
+                unite(root, i[near], j[near])
+            if others is not None:
+                self.root[:] = root[:n]
+        return root if others is None else root[n:]
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the groups of linked members; a group's root is its least member."""
+    while len(a):
+        a, b = root[a], root[b]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        a, b = a[a != b], b[a != b]
+        np.minimum.at(root, b, a)
+        while (root != root[root]).any():
+            root[:] = root[root]
 
 
 def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The least member of each member's group, after joining all linked pairs."""
     root = np.arange(n)
     for a, b in links:
-        while len(a):
-            a, b = root[a], root[b]
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            a, b = a[a != b], b[a != b]
-            np.minimum.at(root, b, a)
-            while (root != root[root]).any():
-                root = root[root]
+        unite(root, a, b)
     return root
 
 
-def group_links(codes: np.ndarray, most: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within one large group of codes in Gray order; their closure is that of all pairs that
-    are `alike`.
-
-    A component grows first: its members are compared with those in no component yet, which soon
-    takes in a group of near copies and needs no pair within it. A component without members left
-    to compare is whole and goes. After VAIN members without a find the index seeks the links of
-    those in no component yet, with one another and with the component that was growing.
-    """
-    loose, grown, todo, vain = np.arange(len(codes)), [], [], 0
-    while len(loose) and vain < VAIN:
+def group_links(n: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within one group; their closure is that of all pairs that are `alike`. A component grows:
+    its members are compared with those in no component yet, so near copies need few comparisons."""
+    loose, todo = np.arange(n), []
+    while len(loose):
         if not todo:
-            grown, todo, loose = [loose[:1]], [loose[0]], loose[1:]
+            todo, loose = [loose[0]], loose[1:]
         own = todo.pop()
         near = alike(np.full(len(loose), own), loose)
         found, loose = loose[near], loose[~near]
-        vain += not len(found)
         yield np.full(len(found), own), found
-        grown.append(found)
         todo.extend(found.tolist())
-    if len(loose):
-        rest = np.sort(np.concatenate([loose, *grown])) if todo else loose
-        for i, j in GrayIndex(codes[rest]).links(most, pairs, np.searchsorted(rest, loose) if todo else None):
-            i, j = rest[i], rest[j]
-            near = alike(i, j) if pairs else slice(None)
-            yield i[near], j[near]
 
 
-def near_links(groups: np.ndarray, codes: np.ndarray, most: int, sketch: np.ndarray | None = None, apart: int = 0) -> np.ndarray:
-    """Roots after linking within groups; rows come sorted by group, then Gray rank. With sketches,
-    a link also needs these at `apart` differing bits or fewer."""
+def near_links(groups: np.ndarray, sketch: np.ndarray, apart: int) -> np.ndarray:
+    """Roots after linking sketches at `apart` differing bits or fewer within groups; rows come sorted by
+    group. The first NEIGHBOURS followers are compared in all groups at once, what then isn't settled
+    in its group by growing components."""
     ends = np.flatnonzero(np.append(groups[1:] != groups[:-1], True)) + 1
     starts = np.append(0, ends[:-1])
-
-    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(codes[i] ^ codes[j]) <= most
-        if sketch is not None:
-            near[near] = np.bitwise_count(sketch[i[near]] ^ sketch[j[near]]).sum(1) <= apart
-        return near
+    alike = lambda i, j: np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= apart
 
     def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        small = np.repeat(ends - starts <= 2 * LEAF, ends - starts)
-        for d in range(1, 2 * LEAF):  # short groups: each code against its followers
-            same = (groups[d:] == groups[:-d]) & small[d:]
-            if not same.any():
+        for d in range(1, NEIGHBOURS):
+            i = np.flatnonzero(groups[d:] == groups[:-d])
+            if not len(i):
                 break
-            i = np.flatnonzero(same)
             i = i[alike(i, i + d)]
             yield i, i + d
         for a, b in zip(starts, ends, strict=True):
-            if b - a > 2 * LEAF:
-                for i, j in group_links(codes[a:b], most, lambda i, j, a=a: alike(i + a, j + a), sketch is not None):
+            if b - a > NEIGHBOURS:
+                for i, j in group_links(b - a, lambda i, j, a=a: alike(i + a, j + a)):
                     yield i + a, j + a
 
-    return forest(len(codes), links())
+    return forest(len(groups), links())
+
+
+def cells(sample: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(bits, prefix) of the ranges of Gray ranks that halve, again and again, until none holds more
+    than `most` of the sampled ranks; in order."""
+    out, todo, sample = [], [(0, 0)], np.sort(sample)
+    while todo:
+        bits, prefix = todo.pop()
+        low, high = prefix << (BITS - bits) if bits else 0, (prefix + 1 << (BITS - bits)) - 1
+        n = np.searchsorted(sample, np.uint64(high), "right") - np.searchsorted(sample, np.uint64(low), "left")
+        if n > most and bits < BITS:
+            todo += [(bits + 1, 2 * prefix + 1), (bits + 1, 2 * prefix)]
+        else:
+            out.append((bits, prefix))
+    return out
 
 
-def plan_for(distinct: int, most: int) -> tuple[int, int]:
-    """Blocks and how many of them make a key: codes at `most` differing bits or fewer agree in
-    blocks - most whole blocks. Keys get longer with the number of codes, so groups stay short."""
-    for chosen in range(1 if most <= 3 else 2, 5):
-        if distinct < 1 << (BITS * chosen // (most + chosen) + 8):
-            break
-    return most + chosen, chosen
+def turned(code: Column, order: int) -> Column:
+    """The code with its halves exchanged in the second order."""
+    return F.shiftleft(code, BITS // 2).bitwiseOR(F.shiftrightunsigned(code, BITS // 2)) if order else code
 
 
-def linked(codes: DataFrame, most: int = 3) -> DataFrame:
-    """Edges (a, b) between rows of `codes` (code and node, long), by node, whose closure is that of
-    all pairs at `most` differing bits or fewer.
+def ranked(code: Column) -> Column:
+    """The Gray rank as a signed number of the same order."""
+    for k in (1, 2, 4, 8, 16, 32):
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, k))
+    return code.bitwiseXOR(F.lit(-(1 << 63)))
+
 
-    A key is the Gray hierarchy's top: its masked bits are shared exactly, so only codes below the
-    same key can be near; each group below a key is searched by its `GrayIndex`. A group gives a
-    spanning forest, not its pairs.
+def linked(codes: DataFrame, most: int = 3) -> DataFrame:
+    """Edges (a, b) between rows of `codes` (code and node, long, codes distinct), by node, whose closure
+    is that of all pairs at `most` differing bits or fewer.
+
+    Codes lie in two Gray orders, the second with their halves exchanged: in one of them a pair
+    differs in half of `most` at most in the upper half, so few ranges of that order can hold both
+    ends. A range (cell) is a node that shares its leading bits; each code goes to its own cell and,
+    as a query, to later cells whose bits don't rule it out. A cell's `GrayIndex` finds the groups.
+    Crowded ranges are halved further, so many codes close together are many cells.
     """
-    blocks, chosen = plan_for(codes.count(), most)
-    edges = [BITS * k // blocks for k in range(blocks + 1)]
-    masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in c) for c in combinations(range(blocks), chosen)]
-    assert len(masks) == comb(blocks, chosen)
-    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("part"), F.col("code").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks))))
-    return searched(codes.select("code", "node", keys.alias("k")).select("code", "node", "k.part", "k.key"), most)
-
-
-def searched(rows: DataFrame, most: int, apart: int | None = None) -> DataFrame:
-    """Edges (a, b), a spanning forest of each group of `rows` (part, key, code, node). With `apart`,
-    a pair also needs sketches (s0 to s3) at so many differing bits or fewer."""
-    wanted = ["part", "key", "code", "node", *(f"s{k}" for k in range(SKETCH) if apart is not None)]
-    rank = F.col("code")
-    for k in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, k))
-    rows = rows.select(*wanted, rank.alias("rank"))
+    spark = codes.sparkSession
+    count, tasks = codes.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, -(-count // CELL))
+    both = [_searched(codes, order, most, parts, max(1, count // (SAMPLE * parts))) for order in (0, 1)]
+    return both[0].unionByName(both[1])
+
+
+def _searched(codes: DataFrame, order: int, most: int, parts: int, every: int) -> DataFrame:
+    rows = codes.select(turned(F.col("code"), order).alias("code"), "node")
+    sample = rows.where(F.pmod(F.xxhash64("code"), F.lit(every)) == 0).select("code").toArrow()["code"].to_numpy().astype(np.int64).view(np.uint64)  # some SAMPLE a part
+    ranges = cells(gray_rank(sample), SAMPLE)
+    bits = np.array([b for b, _ in ranges])
+    first = np.array([p << (BITS - b) if b else 0 for b, p in ranges], np.uint64)
+    mask = np.array([((1 << b) - 1) << (BITS - b) for b in bits.tolist()], np.uint64)
+    pattern = (first ^ first >> np.uint64(1)) & mask
+    schema = pa.schema([("cell", pa.int32()), ("kind", pa.int32()), ("code", pa.int64()), ("node", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                code, node = (batch.column(c).slice(at, 256).to_numpy(zero_copy_only=False) for c in ("code", "node"))
+                own = np.searchsorted(first, gray_rank(code.view(np.uint64)), "right") - 1
+                differ = (code.view(np.uint64)[:, None] ^ pattern) & mask
+                near = (np.bitwise_count(differ) <= most) & (np.bitwise_count(differ >> np.uint64(BITS // 2)) <= most // 2)
+                near &= np.arange(len(first)) >= own[:, None]
+                i, cell = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell.astype(np.int32), (cell != own[i]).astype(np.int32), code[i], node[i])], schema=schema)
+
+    dealt = rows.mapInArrow(deal, "cell int, kind int, code long, node long")
+    dealt = dealt.repartitionById(parts, (F.col("cell").cast("long") * parts / F.lit(len(ranges))).cast("int")).sortWithinPartitions("cell", "kind", ranked(F.col("code")))
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, index, nodes, own = -1, None, None, []
+
+        def edges(of: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+            other = np.flatnonzero(nodes[root] != of) if len(root) else root
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(of[other]), pa.array(nodes[root[other]])], schema=edge)
+
+        def indexed() -> None:
+            nonlocal index, nodes
+            if index is None:  # the cell's own codes have come
+                code = np.concatenate([x[0] for x in own]) if own else np.empty(0, np.int64)
+                nodes = np.concatenate([x[1] for x in own]) if own else np.empty(0, np.int64)
+                index = GrayIndex(code.view(np.uint64))
+                index.join(most)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if cell >= 0:
+                indexed()
+                yield from edges(nodes, index.root)
+
+        for batch in batches:
+            at, kind, code, node = (batch.column(k).to_numpy() for k in range(4))
+            key = at.astype(np.int64) * 2 + kind
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if at[a] != cell:
+                    yield from ended()
+                    cell, index, nodes, own = int(at[a]), None, None, []
+                if kind[a] == 0:
+                    own.append((code[a:b], node[a:b]))
+                    continue
+                indexed()
+                if len(nodes):
+                    root = index.join(most, code[a:b].view(np.uint64).copy())
+                    linked = root < len(nodes)
+                    yield from edges(node[a:b][linked], root[linked])
+        yield from ended()
+
+    return dealt.mapInArrow(search, "a long, b long")
+
+
+def banded(rows: DataFrame, apart: int) -> DataFrame:
+    """Edges (a, b), a spanning forest of each group of `rows` (part, key, node, sketch s0 to s3) whose
+    pairs are sketches at `apart` differing bits or fewer."""
+    wanted = ["part", "key", "node", *(f"s{k}" for k in range(SKETCH))]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, len(wanted)), np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
-            held = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in wanted], 1)])
-            new = np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(1))
+            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in wanted], 1)
+            last = np.flatnonzero((new[1:, :2] != new[:-1, :2]).any(1))
+            if held and len(new) and (held[-1][-1, :2] != new[0, :2]).any():
+                yield from found(np.concatenate(held))
+                held = []
+            if len(last):  # the last group may go on in the next batch
+                yield from found(np.concatenate([*held, new[: last[-1] + 1]]))
+                held, new = [], new[last[-1] + 1 :]
             if len(new):
-                yield from found(held[: new[-1] + 1])
-                held = held[new[-1] + 1 :]
-        if len(held):
-            yield from found(held)
+                held.append(new)
+        if held:
+            yield from found(np.concatenate(held))
 
     def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         group = np.append(0, np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(1)))
-        sketch = None if apart is None else np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
-        root = near_links(group, rows[:, 2].copy().view(np.uint64), most, sketch, apart or 0)
+        root = near_links(group, np.ascontiguousarray(rows[:, 3:]).view(np.uint64), apart)
         other = np.flatnonzero(root != np.arange(len(root)))
         if len(other):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[other, 3]), pa.array(rows[root[other], 3])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[other, 2]), pa.array(rows[root[other], 2])], schema=schema)
 
-    # a key's group is met whole: its codes are distinct and 8 bytes each
-    return rows.repartition("part", "key").sortWithinPartitions("part", "key", F.col("rank").bitwiseXOR(F.lit(-(1 << 63)))).mapInArrow(search, "a long, b long")
+    # a key's group is met whole: its members are distinct texts, of 56 bytes each
+    return rows.select(*wanted).repartition("part", "key").sortWithinPartitions("part", "key", "s0", "s1", "s2", "s3").mapInArrow(search, "a long, b long")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -296,11 +384,12 @@ def components(docs: DataFrame, most: int = 3) -> DataFrame:
     """doc_id, code, component_id, one row for each row of `docs`.
 
     Null and empty texts have the code zero and are linked like any other. Rows with a null doc_id
-    stay; a component of only such rows has a null id. Equal rows give equal results.
+    stay; a component of only such rows has a null id. Equal rows give equal results; an empty
+    table gives none; other columns don't matter.
     """
     rows = written(fingerprints(docs), "fingerprints")
     classes = rows.groupBy("code").agg(F.min("doc_id").alias("least"))
-    members = connected_components(linked(classes.select("code", F.col("code").alias("node")), most))
+    members = connected_components(linked(written(classes.select("code", F.col("code").alias("node")), "codes"), most))
     grouped = classes.join(members, classes["code"] == members["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root"))
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(grouped.select("code", "root").join(ids, "root"), "code").select("doc_id", "code", "component_id")
@@ -363,6 +452,8 @@ def verified(texts: DataFrame, similarity: float) -> DataFrame:
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of `docs` for each group of near copies, the one with the smallest doc_id. Texts are
     near copies if their sets of five-word shingles have a Jaccard similarity of `similarity` or more.
+    So many bits of a SimHash may differ at that similarity that no Gray-ordered index prunes; its
+    sketches rule out candidates instead.
 
     Candidates share a band, and their sketches are near enough not to rule the similarity out. The
     sets themselves decide, within each component of candidates.
@@ -375,8 +466,8 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     own = docs.select("doc_id", "text").where("doc_id is not null")
     rows = written(mapped(own, lambda i, t: (i, *near_copy_keys(t)), schema), "signatures")
     classes = rows.groupBy("code", *sketch, "total", "bands").agg(F.min("node").alias("node"))
-    keys = classes.select("code", "node", *sketch, F.posexplode("bands").alias("part", "key"))
-    loose = connected_components(searched(keys, BITS, bits_apart(similarity) + MARGIN)).select(F.col("node").alias("doc_id"), F.col("root").alias("part"))
+    keys = classes.select("node", *sketch, F.posexplode("bands").alias("part", "key"))
+    loose = connected_components(banded(keys, bits_apart(similarity) + MARGIN)).select(F.col("node").alias("doc_id"), F.col("root").alias("part"))
     if small_enough(loose, F.lit(48)):
         loose = F.broadcast(loose)
     members = written(verified(own.join(loose, "doc_id").select("part", F.col("doc_id").alias("node"), "text"), similarity), "near-copies")
@@ -393,5 +484,7 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null, empty and very long texts, repeated rows,
+    empty tables, further columns: see `components`."""
     found = components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")

@@ -64,24 +64,26 @@ def hamming_components(rows, most=3):
     return [(doc, f"{c:016x}", least.get(find(c))) for (doc, _), c in zip(rows, codes, strict=True)]
 
 
-def near_groups(rows):
-    """doc_id: smallest doc_id of its group, by all pairs of signatures."""
-    from tessera.llm import simhash
-
-    parent, own = {i: i for i, _ in rows}, [(i, simhash.signature(t)) for i, t in rows]
+def near_groups(rows, similarity=0.8, size=5):
+    """doc_id: smallest doc_id of its group, by the exact similarity of all pairs that share a shingle."""
+    parent, sets, holders, common = {i: i for i, _ in rows}, {}, {}, Counter()
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    whole = (1 << 64) - 1
-    apart = lambda a, b: sum(((x & whole) ^ (y & whole)).bit_count() for x, y in zip(a, b, strict=True))
-    for n, (i, a) in enumerate(own):
-        for j, b in own[n + 1 :]:
-            if apart(a[:1], b[:1]) <= 7 and apart(a[1:], b[1:]) <= 39:
-                x, y = sorted((find(i), find(j)))
-                parent[y] = x
+    for i, t in sorted(rows):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: chr(c + 32) for c in range(65, 91)}))
+        sets[i] = {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    for own in holders.values():
+        common.update((a, b) for n, a in enumerate(own) for b in own[n + 1 :])
+    for (a, b), n in common.items():
+        if n >= similarity * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
     return {i: find(i) for i, _ in rows}
 
 

@@ -95,54 +95,107 @@ def test_simhash_odd(odd, empty):
 def test_near_copies(spark):
     random.seed(11)
     vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 6))) for _ in range(4000)]
-    rows, similar = [], {}
-    for k in range(150):
+    rows = []
+    for k in range(100):
         text = random.choices(vocabulary, k=random.randint(60, 500))
         rows.append((k, " ".join(text)))
         for n in range(3):
             copy = [random.choice(vocabulary) if random.random() < 0.02 * n else w for w in text]
-            i = 1000 + 10 * k + n
-            rows.append((i, " ".join(copy)))
-            a, b = ({tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in (text, copy))
-            similar[i] = len(a & b) / len(a | b)
+            rows.append((1000 + 10 * k + n, " ".join(copy)))
+    want = set(brute.near_groups(rows).values())
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
-    assert set(range(150)) <= kept and kept == set(brute.near_groups(rows).values())
-    close, far = [i for i, s in similar.items() if s >= 0.85], [i for i, s in similar.items() if s < 0.65]
-    assert len(close) > 150 and sum(i in kept for i in close) <= 0.05 * len(close)
-    assert far and sum(i in kept for i in far) > 0.9 * len(far)
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == want
+    assert 100 < len(want) < 250
+
+
+def in_gray_order(codes):
+    codes = np.unique(np.asarray(codes, np.uint64))
+    return codes[np.argsort(simhash.gray_rank(codes))]
+
+
+def halves_exchanged(codes):
+    return (codes << np.uint64(32)) | (codes >> np.uint64(32))
+
+
+def all_pairs(codes, most=3):
+    for i in range(len(codes)):
+        j = np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= most)
+        yield np.full(len(j), i), j
 
 
 @pytest.mark.parametrize("spread", [4, 9, 20])
 def test_gray_index(spread):
+    """Two Gray orders give the groups of all pairs, within an index and between it and other codes."""
     rng = np.random.default_rng(spread)
     centre = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     codes = np.unique(np.array([int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, spread), replace=False) % (12 if spread == 9 else 64)) for c in centre for _ in range(300)], np.uint64))
-    codes = codes[np.argsort(simhash.gray_rank(codes))]
-    root = simhash.forest(len(codes), simhash.GrayIndex(codes).links(3))
-
-    def all_pairs():
-        for i in range(len(codes)):
-            j = np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 3)
-            yield np.full(len(j), i), j
-
-    assert (root == simhash.forest(len(codes), all_pairs())).all()
-    assert (root == simhash.near_links(np.zeros(len(codes), np.int64), codes, 3)).all()
+    want = simhash.forest(len(codes), all_pairs(codes))
+    for cut in (len(codes), len(codes) // 3):
+        links = []
+        for turned in (codes, halves_exchanged(codes)):
+            order = np.argsort(simhash.gray_rank(turned))
+            index = simhash.GrayIndex(turned[order[np.sort(np.flatnonzero(order < cut))]])
+            own = order[order < cut]
+            index.join(3)
+            rest = np.arange(cut, len(codes))
+            root = index.join(3, turned[rest])
+            links += [(own, own[index.root]), (rest[root < cut], own[root[root < cut]])]
+        if cut < len(codes):  # the others among themselves
+            links += [(cut + i, cut + j) for i, j in all_pairs(codes[cut:])]
+        assert (simhash.forest(len(codes), iter(links)) == want).all()
+
+
+def test_gray_index_prunes():
+    """On the fingerprints of sf0.1 whole groups are pruned: few pairs are compared, and none is lost."""
+    texts = duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet'").fetchall()
+    codes = np.unique(np.array([simhash.fingerprint(t) for (t,) in texts], np.uint64))
+    links, compared, visited, pruned = [], 0, 0, 0
+    for turned in (codes, halves_exchanged(codes)):
+        order = np.argsort(simhash.gray_rank(turned))
+        index = simhash.GrayIndex(turned[order])
+        index.join(3)
+        links.append((order, order[index.root]))
+        compared, visited, pruned = compared + index.compared, visited + index.visited, pruned + index.pruned
+    assert (simhash.forest(len(codes), iter(links)) == simhash.forest(len(codes), all_pairs(codes))).all()
+    assert len(codes) > 5000 and compared < 0.05 * len(codes) ** 2 and pruned > 0.5 * visited
+
+
+def test_cells():
+    """Ranges tile the Gray order, and crowded ones are halved further."""
+    rng = np.random.default_rng(3)
+    codes = np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2), np.uint64(1 << 62) + rng.integers(0, 4096, 5000, dtype=np.uint64)])
+    ranks = simhash.gray_rank(codes)
+    found = simhash.cells(ranks, 64)
+    ends = [(p << 64 - b, (p + 1 << 64 - b) - 1) for b, p in found]
+    assert ends[0][0] == 0 and ends[-1][1] == (1 << 64) - 1 and all(x[1] + 1 == y[0] for x, y in zip(ends, ends[1:], strict=False))
+    assert max(int(((ranks >= np.uint64(a)) & (ranks <= np.uint64(b))).sum()) for a, b in ends) <= 64
+
+
+def test_linked_hot(spark):
+    """Many codes close together lie in many cells; the groups are those of all pairs."""
+    rng = np.random.default_rng(7)
+    near = [int(x) for x in (np.uint64(0x0123456789ABCDEF) ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(3000)], np.uint64))]
+    codes = in_gray_order([*near, *rng.integers(0, 1 << 63, 1000, dtype=np.uint64).tolist()])
+    rows = [(simhash.signed(int(c)), k) for k, c in enumerate(codes)]
+    edges = simhash.linked(spark.createDataFrame(rows, "code long, node long")).collect()
+    want = simhash.forest(len(codes), all_pairs(codes))
+    got = simhash.forest(len(codes), iter([(np.array([r.a for r in edges]), np.array([r.b for r in edges]))]))
+    assert (got == want).all() and 1 < len(set(want)) < len(codes)
 
 
 @pytest.mark.parametrize("loose", [0, 300])
-def test_large_groups(loose):
+def test_large_bands(loose):
     rng = np.random.default_rng(loose)
     flipped = lambda x, bits: np.bitwise_xor.reduce([x, *(np.uint64(1) << np.uint64(b) for b in rng.choice(64, bits, replace=False))])
-    base = rng.integers(0, 1 << 63, (4, 5), dtype=np.uint64)
-    rows = np.array([[flipped(base[k % 4, 0], rng.integers(0, 4)), *(flipped(x, rng.integers(0, 6)) for x in base[k % 4, 1:])] for k in range(600)])
-    rows = np.concatenate([rows, np.column_stack([[flipped(base[0, 0], rng.integers(0, 8)) for _ in range(loose)], rng.integers(0, 1 << 63, (loose, 4), dtype=np.uint64)])]) if loose else rows
-    rows = rows[np.argsort(simhash.gray_rank(rows[:, 0]))]
-    codes, sketch = rows[:, 0].copy(), rows[:, 1:].copy()
-    near = [(i, np.flatnonzero((np.bitwise_count(codes ^ codes[i]) <= 7) & (np.bitwise_count(sketch ^ sketch[i]).sum(1) <= 24))) for i in range(len(codes))]
-    want = simhash.forest(len(codes), iter([(np.full(len(j), i), j) for i, j in near]))
-    assert (simhash.near_links(np.zeros(len(codes), np.int64), codes, 7, sketch, 24) == want).all()
-    assert 1 < len(set(want)) < len(codes)
+    base = rng.integers(0, 1 << 63, (4, 4), dtype=np.uint64)
+    sketch = np.array([[flipped(x, rng.integers(0, 6)) for x in base[k % 4]] for k in range(600)])
+    sketch = np.concatenate([sketch, rng.integers(0, 1 << 63, (loose, 4), dtype=np.uint64)]) if loose else sketch
+    sketch = sketch[rng.permutation(len(sketch))]
+    group = np.sort(np.concatenate([np.zeros(len(sketch) - 100, np.int64), rng.integers(1, 40, 100)]))
+    near = [(np.full(len(j), i), j) for i in range(len(sketch)) if len(j := np.flatnonzero((group == group[i]) & (np.bitwise_count(sketch ^ sketch[i]).sum(1) <= 24)))]
+    want = simhash.forest(len(sketch), iter(near))
+    assert (simhash.near_links(group, sketch, 24) == want).all()
+    assert 1 < len(set(want)) < len(sketch)
 
 
 def test_components(spark):
