@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from functools import partial
+from math import isqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +16,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
-#: Children of a node, rows meant for a leaf, most leaves, rows the tree is fitted on at most.
-BRANCH, LEAF_ROWS, MOST_LEAVES, SAMPLE = 8, 1024, 1024, 20_000
+#: Children of a node, fewest rows meant for a leaf, leaves of the upper tree and of the whole tree at
+#: most, rows that the upper tree and each lower one are fitted on at most.
+BRANCH, LEAF_ROWS, UPPER, MOST_LEAVES, SAMPLE = 8, 16, 1024, 65_536, 20_000
 #: Leaves a query visits before its k-th best score so far bounds what the others may add.
-FIRST = 2
+FIRST = 4
 #: Rows of a block, queries of a block, queries that calibrate, the recall that they must reach.
 BLOCK, QUERIES, CALIBRATION, RECALL = 4096, 512, 128, 0.96
 
@@ -36,7 +40,7 @@ class Tree:
         ends = 1
         while todo:  # the largest node is split first
             size, node, own = heapq.heappop(todo)
-            parts = self._split(points[own]) if ends + BRANCH - 1 <= leaves and -size >= 2 * BRANCH else None
+            parts = self._split(points[own]) if ends < leaves and -size >= 2 * BRANCH else None
             if parts is None:
                 self.leaf[node] = self.n_leaves
                 self.n_leaves += 1
@@ -51,6 +55,19 @@ class Tree:
                 centres.append(centre)
         self.centres = np.array(centres)
 
+    def grafted(self, lower: dict[int, Tree]) -> None:
+        """Leaves become the trees fitted on their rows."""
+        for node in [k for k, leaf in enumerate(self.leaf) if leaf in lower]:
+            tree, shift = lower[self.leaf[node]], len(self.children) - 1  # its root is the node
+            self.children[node] = [k + shift for k in tree.children[0]]
+            self.children += [[k + shift for k in own] for own in tree.children[1:]]
+            self.leaf += tree.leaf[1:]
+            self.centres = np.concatenate([self.centres, tree.centres[1:]])
+        ends = [k for k, own in enumerate(self.children) if not own]
+        self.leaf, self.n_leaves = [-1] * len(self.children), len(ends)
+        for number, node in enumerate(ends):
+            self.leaf[node] = number
+
     def lifted(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([x, np.sqrt(np.maximum(self.longest**2 - (x**2).sum(1), 0))])
 
@@ -196,36 +213,92 @@ def packed(rows: DataFrame, key: list[str], size: int) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
-def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` the k
-    nearest of the other rows by inner product.
+def leaves_for(n: int) -> int:
+    """The square root of the number of rows, so that neither leaves nor rows in a leaf are many."""
+    return max(1, min(MOST_LEAVES, isqrt(n), n // LEAF_ROWS))
+
+
+def fitted(source: DataFrame, n: int, longest: float) -> Tree:
+    """The tree: an upper one of UPPER leaves at most, fitted on SAMPLE rows taken by hash. Beyond that
+    many leaves, each leaf gets a tree of its own, fitted on at most SAMPLE of its rows."""
+    mark = F.xxhash64("vec_id", "v")
+    sample = np.array([r.v for r in source.orderBy(mark, "vec_id").limit(SAMPLE).collect()])
+    leaves = leaves_for(n)
+    tree = Tree(sample, min(leaves, UPPER), longest)
+    each = -(-leaves // tree.n_leaves)
+    if each > 1:
+        shared = source.sparkSession.sparkContext.broadcast(tree)  # bounded by UPPER
+        rows = source.mapInArrow(_assigned(shared), ASSIGNED)
+        first = Window.partitionBy("leaf").orderBy(mark, "vec_id")
+        some = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE).select("leaf", "v")
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, own = None, []
+
+            def done() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pickle.dumps(Tree(np.concatenate(own), each, longest))], pa.binary())], names=["leaf", "tree"])
+
+            for batch in batches:
+                leaf, x = batch.column("leaf").to_numpy(), matrix(batch.column("v"))
+                cuts = [0, *(np.flatnonzero(leaf[1:] != leaf[:-1]) + 1).tolist(), len(leaf)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if a < b and now is not None and leaf[a] != now:
+                        yield done()
+                        own = []
+                    if a < b:
+                        now = int(leaf[a])
+                        own.append(x[a:b])
+            if own:
+                yield done()
+
+        made = some.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(fit, "leaf int, tree binary").collect()  # MOST_LEAVES centres
+        tree.grafted({r.leaf: pickle.loads(r.tree) for r in made})
+    return tree
+
+
+ASSIGNED = "vec_id long, v array<double>, leaf int"
+
+
+def _assigned(shared) -> Callable:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.leaf_of(matrix(batch.column("v"))))], names=["vec_id", "v", "leaf"])
+
+    return assign
+
+
+class Found(NamedTuple):
+    """Neighbours, the leaves of the tree, and how many of them each query visited."""
+
+    rows: DataFrame
+    leaves: int
+    visits: int
+
+
+def searched(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> Found:
+    """For each row whose vec_id is divisible by `every` the k nearest of the other rows by inner
+    product: query_id, rank, vec_id, score.
 
     Rows with a null id or a vector that is null, zero, of an unusual length or holds null or
     non-finite components take no part; rows that repeat id and vector count once; equal scores
-    go to the smaller id. The tree is fitted on a bounded sample and holds every row. A leaf is
-    dealt out in blocks, so a leaf with very many rows is many tasks.
+    go to the smaller id; an empty table gives no rows; other columns don't matter. The tree is
+    fitted on bounded samples and holds every row. A leaf is dealt out in blocks, so a leaf with
+    very many rows is many tasks.
     """
     spark = vectors.sparkSession
     source = written(usable(vectors), "vectors")
     facts = source.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()
     if not facts.n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r.v for r in source.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
-    tree = Tree(sample, max(1, min(MOST_LEAVES, facts.n // LEAF_ROWS)), float(np.sqrt(facts.longest)))
+        return Found(spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), 0, 0)
+    tree = fitted(source, facts.n, float(np.sqrt(facts.longest)))
     shared = spark.sparkContext.broadcast(tree)  # bounded by MOST_LEAVES
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.leaf_of(matrix(batch.column("v"))))], names=["vec_id", "v", "leaf"])
-
-    rows = written(source.mapInArrow(assign, "vec_id long, v array<double>, leaf int"), "leaves")
+    rows = written(source.mapInArrow(_assigned(shared), ASSIGNED), "leaves")
     queries = rows.where(F.col("vec_id") % every == 0)
     most = calibrated(tree, rows, queries, k, recall)
-    salts = {r.leaf: -(-r["count"] // BLOCK) for r in rows.groupBy("leaf").count().collect()}  # at most MOST_LEAVES
-    parts = F.element_at(F.create_map(*(F.lit(x) for kv in sorted(salts.items()) for x in kv)), F.col("leaf"))
-    blocks = packed(rows.select("leaf", F.pmod(F.xxhash64("vec_id"), parts).cast("int").alias("salt"), "vec_id", "v"), ["leaf", "salt"], BLOCK)
-
-    blocks = written(blocks, "blocks")
+    parts = written(rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "parts")
+    parts = F.broadcast(parts)  # MOST_LEAVES rows
+    salted = rows.join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("salt"), "vec_id", "v")
+    blocks = written(packed(salted, ["leaf", "salt"], BLOCK), "blocks")
     search = partial(_search, k=k)
 
     def visited(asking: DataFrame, first: int, last: int) -> DataFrame:
@@ -238,16 +311,21 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall: float =
 
         routed = asking.repartition(F.col("vec_id")).mapInArrow(route, "vec_id long, v array<double>, leaves array<int>").select("vec_id", "v", F.explode("leaves").alias("leaf"))
         asked = packed(routed.withColumn("turn", F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int")), ["leaf", "turn"], QUERIES)
-        asked = asked.where(parts.isNotNull()).select("leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.col("ids").alias("qids"), F.col("vectors").alias("qs"))
+        asked = asked.join(parts, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("ids").alias("qids"), F.col("vectors").alias("qs"))
         return asked.join(blocks, ["leaf", "salt"]).select("qids", "qs", "ids", "vectors").mapInArrow(search, "query_id long, vec_id long, score double")
 
     with_bound = lambda bound: F.concat("v", F.array(bound))
     near = written(ranked(visited(queries.select("vec_id", with_bound(F.lit(float("-inf"))).alias("v")), 0, min(FIRST, most)), k), "near")
-    if most <= FIRST:
-        return near
-    bounds = near.where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("bound"))
-    asking = queries.join(bounds, F.col("vec_id") == F.col("q"), "left").select("vec_id", with_bound(F.coalesce("bound", F.lit(float("-inf")))).alias("v"))
-    return ranked(near.drop("rank").unionByName(visited(asking, FIRST, most)), k)
+    if most > FIRST:
+        bounds = near.where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("bound"))
+        asking = queries.join(bounds, F.col("vec_id") == F.col("q"), "left").select("vec_id", with_bound(F.coalesce("bound", F.lit(float("-inf")))).alias("v"))
+        near = ranked(near.drop("rank").unionByName(visited(asking, FIRST, most)), k)
+    return Found(near, tree.n_leaves, most)
+
+
+def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
+    """The rows that `searched` finds."""
+    return searched(vectors, every, k, recall).rows
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -258,6 +336,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in best(qid, q[:, :-1], ids, x.reshape(len(ids), -1), k, q[:, -1])], schema=FOUND)
 
 
-
 def op10_ann(spark, sf_dir: str) -> DataFrame:
+    """The neighbours of every twentieth vector. Null, zero, very long and odd vectors, ties, repeated
+    rows, empty tables, further columns: see `searched`."""
     return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -108,17 +108,36 @@ def recall(spark, got, rows):
     return hits / total
 
 
-def test_ann(spark):
-    rows = duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet'").fetchall()
-    assert recall(spark, Q["op10_ann"](spark, SF).collect(), rows) >= 0.9
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann(spark, sf):
+    rows = duckdb.sql(f"select vec_id, embedding from '/root/testdata/{sf}/embeddings.parquet'").fetchall()
+    found = ann.searched(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet"))
+    assert found.leaves >= 16 and recall(spark, found.rows.collect(), rows) >= 0.94
+    if sf == "sf0.01":
+        assert rows_of(Q["op10_ann"](spark, SF)) == rows_of(found.rows)
 
 
-def test_ann_tree(spark):
+def clustered(rng, n, groups, size=12):
+    centre = rng.normal(size=(groups, size)) * 4
+    return [(i, (centre[i % groups] + rng.normal(size=size) * 0.3).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("upper", [1024, 12])
+def test_ann_tree(spark, monkeypatch, upper):
+    """Far from all leaves are visited where vectors lie in clusters, also in a tree of two levels."""
+    monkeypatch.setattr(ann, "UPPER", upper)
     rng = np.random.default_rng(1)
-    rows = [(i, (rng.normal(size=12) * rng.uniform(0.2, 3)).tolist()) for i in range(9000)]
+    rows = clustered(rng, 9000, 60)
     rows += [(9000 + i, rows[40][1]) for i in range(3000)]  # a hot vector
-    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert recall(spark, ann.neighbours(docs).collect(), rows) >= 0.9
+    found = ann.searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert found.leaves >= 90 and found.visits < found.leaves / 4
+    assert recall(spark, found.rows.collect(), rows) >= 0.9
+
+
+def test_ann_long_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = clustered(rng, 300, 6, 3000)
+    assert recall(spark, ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), rows) >= 0.9
 
 
 def test_ann_odd(spark):
