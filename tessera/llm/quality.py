@@ -15,10 +15,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Significant bits of a sketch's buckets: a bucket is at most 1/32 of its value wide.
 SIGNIFICANT = 6
-#: Texts a (lang, source) needs before its own sketch counts; a language's, and all, come next.
-LEAST = 100
-#: Fence: upper quartile + REACH * max(interquartile range, floor); floors by measure, in its unit.
-REACH = 8
+#: Texts for which a language's quartiles count in those of its sources, and those of all in a language's.
+WEIGHT = 100
+#: Fence: upper quartile + REACH * max(interquartile range, floor); floors by measure, in its unit. In a
+#: group without any, a fifth of repeated words or duplicate lines is over the fence, and 2 % of symbols.
+REACH = 4
 #: Millionths, but word_length in thousandths.
 FLOORS = {"symbols": 5_000, "dup_lines": 50_000, "repeats": 50_000, "word_length": 500}
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
@@ -104,13 +105,17 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fences(rows: DataFrame) -> DataFrame:
-    """lang, source and the highest allowed value of each measure: __max_<measure>."""
+    """lang, source and the highest allowed value of each measure: __max_<measure>. A group's quartiles
+    are blended with its language's, and these with those of all texts, so a small group has little
+    say of its own and there is no size at which the rule changes."""
     sketch = written(sketches(rows), "sketch")
     own = quartiles(sketch, ["lang", "source"])
     lang = quartiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.struct("q1", "q3", "total").alias("of_lang"))
-    every = quartiles(sketch, []).select(F.col("measure").alias("e"), F.struct("q1", "q3", "total").alias("of_all"))
-    q = F.when(F.col("total") >= LEAST, F.struct("q1", "q3", "total")).when(F.col("of_lang.total") >= LEAST, F.col("of_lang")).otherwise(F.col("of_all"))
+    every = quartiles(sketch, []).select(F.col("measure").alias("e"), F.struct("q1", "q3").alias("of_all"))
     joined = own.join(lang, own["lang"].eqNullSafe(lang["l"]) & (own["measure"] == lang["m"])).join(F.broadcast(every), F.col("measure") == F.col("e"))  # one row a measure
+    blend = lambda n, q, wide: F.expr(f"({n} * {q} + {WEIGHT} * {wide}) div ({n} + {WEIGHT})")
+    joined = joined.withColumns({f"w{k}": blend("of_lang.total", f"of_lang.q{k}", f"of_all.q{k}") for k in (1, 3)})
+    q = F.struct(*(blend("total", f"q{k}", f"w{k}").alias(f"q{k}") for k in (1, 3)))
     floor = F.create_map(*(F.lit(x) for kv in FLOORS.items() for x in kv))[F.col("measure")]
     fence = joined.select("lang", "source", "measure", q.alias("q")).withColumn("top", F.col("q.q3") + REACH * F.greatest(F.col("q.q3") - F.col("q.q1"), floor))
     return fence.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == k, F.col("top"))).alias(f"__max_{k}") for k in FLOORS))
@@ -130,7 +135,8 @@ def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and kept of every row.
 
     Null texts have no words and fail; null languages and sources are groups of their own; rows
-    that repeat are judged alike; a table without a passing text has no fences and keeps none.
+    that repeat are judged alike; a table without a passing text has no fences and keeps none; an
+    empty table gives no rows; texts count whole; other columns don't matter.
     """
     rows = written(measured(docs, ["doc_id", "lang", "source"]), "measures")
     out = judged(rows, written(fences(rows), "fences"))
@@ -146,6 +152,8 @@ def filtered(docs: DataFrame) -> DataFrame:
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document. Null, empty and very long texts, null groups, repeated rows,
+    empty tables, further columns: see `quality`."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -176,8 +184,9 @@ m as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_fail
 long as ({" union all ".join(f"select lang, source, '{k}' as measure, {_bucket_sql(f'm_{k}')} as bucket from m where not base_failed" for k in FLOORS)}),
 sketch as (select lang, source, measure, bucket, count(*) as n from long group by all),
 {_quartile_sql("own", "lang, source, ")}, {_quartile_sql("bylang", "lang, ")}, {_quartile_sql("every", "")},
-pick as (select o.lang, o.source, o.measure, case when o.total >= {LEAST} then o.q1 when l.total >= {LEAST} then l.q1 else e.q1 end as q1, case when o.total >= {LEAST} then o.q3 when l.total >= {LEAST} then l.q3 else e.q3 end as q3
-  from own o join bylang l on o.lang is not distinct from l.lang and o.measure = l.measure join every e on o.measure = e.measure),
+wide as (select l.lang, l.measure, (l.total * l.q1 + {WEIGHT} * e.q1) // (l.total + {WEIGHT}) as q1, (l.total * l.q3 + {WEIGHT} * e.q3) // (l.total + {WEIGHT}) as q3 from bylang l join every e on l.measure = e.measure),
+pick as (select o.lang, o.source, o.measure, (o.total * o.q1 + {WEIGHT} * l.q1) // (o.total + {WEIGHT}) as q1, (o.total * o.q3 + {WEIGHT} * l.q3) // (o.total + {WEIGHT}) as q3
+  from own o join wide l on o.lang is not distinct from l.lang and o.measure = l.measure),
 fence as (select lang, source, {", ".join(f"max(q3 + {REACH} * greatest(q3 - q1, {v})) filter (where measure = '{k}') as f_{k}" for k, v in FLOORS.items())} from pick group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {" and ".join(f"coalesce(m_{k} <= f_{k}, true)" for k in FLOORS)} as kept
 from m left join fence f on m.lang is not distinct from f.lang and m.source is not distinct from f.source

@@ -275,6 +275,37 @@ def test_quality(spark, texts):
     assert sum(good) > 0.93 * len(good)
 
 
+@pytest.mark.parametrize("measure", ["symbols", "dup_lines", "repeats", "word_length"])
+def test_fences(spark, measure):
+    """An outlier of each measure that the base rules let pass is rejected in a clean group, whatever the
+    group's size, and no other text; a group in which it is usual keeps it."""
+    random.seed(measure)
+    words = ["".join(random.choices("abcdefghij", k=random.randint(3, 7))) for _ in range(3000)]
+
+    def text(odd):
+        lines = [random.choices(words, k=10) for _ in range(12)]
+        if odd and measure == "symbols":
+            lines = [[w + "#$" * (k % 2) for k, w in enumerate(x)] for x in lines]
+        if odd and measure == "word_length":
+            lines = [[w * 3 for w in x] for x in lines]
+        if odd and measure == "dup_lines":
+            lines += [["ab", "cd"]] * 8
+        if odd and measure == "repeats":
+            lines += [lines[0] + lines[1] + ["x", *lines[2]], lines[0] + lines[1]][1:]
+        return "\n".join(" ".join(x) for x in lines)
+
+    rows = []
+    for group, (clean, strange) in enumerate([(30, 1), (99, 1), (100, 1), (101, 1), (400, 2), (300, 300)]):
+        rows += [(len(rows) + k, text(k >= clean), "en", f"s{group}") for k in range(clean + strange)]
+    kept = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in kept.values())
+    at = 0
+    for clean, strange in [(30, 1), (99, 1), (100, 1), (101, 1), (400, 2)]:
+        assert all(kept[at + k].kept == (k < clean) for k in range(clean + strange))
+        at += clean + strange
+    assert all(kept[at + k].kept for k in range(600))
+
+
 def test_quality_odd(odd, empty):
     got = quality.quality(odd)
     assert rows_of(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(((i, *brute.quality_counts(t)) for i, t in odd_rows()), key=repr)
