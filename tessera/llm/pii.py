@@ -1,10 +1,14 @@
 """Personal data: pattern spans, and terms that disclose a protected entity by co-occurrence.
 
+Entities are met by value, and by what several values share: the domain of an email, the network of
+an ip, the issuer of a card, the area of a phone. A term that tells too much of an entity of its text
+is generalised to its beginning if that is told by enough other words, and otherwise removed.
 Everything here is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +39,16 @@ LETTERS, SUPPORT, SHARE = 3, 3, 0.9
 BANDS, ROWS = 32, 7
 
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
+#: Matches that are summed up one after another.
+STRETCH = 128
 
 
 def found(text: Column, pattern: str, kind: int) -> Column:
-    """All matches as spans: the pieces between matches give their places in code points."""
+    """All matches as spans: the pieces between matches give their places in code points. They are
+    summed in stretches of STRETCH and the stretches one after another, so many matches cost no
+    more than a little each."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    both = F.arrays_zip(pieces.alias("0"), hits.alias("1"))
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + F.length(x["0"])
@@ -48,7 +56,16 @@ def found(text: Column, pattern: str, kind: int) -> Column:
         span = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["1"].alias("v"))
         return F.when(x["1"].isNull(), a).otherwise(F.struct(e.alias("at"), F.concat(a["out"], F.array(span)).alias("out")))
 
-    return F.aggregate(F.arrays_zip(pieces.alias("0"), hits.alias("1")), start, step, lambda a: a["out"])
+    def moved(x: Column, by: Column) -> Column:
+        return F.struct((x["s"] + by).alias("s"), x["k"].alias("k"), (x["e"] + by).alias("e"), x["v"].alias("v"))
+
+    def after(a: Column, x: Column) -> Column:
+        own = F.transform(x["out"], lambda y: moved(y, a["at"]))
+        return F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(own)).alias("out"))
+
+    stretch = lambda k: F.aggregate(F.slice(both, k * STRETCH + 1, F.lit(STRETCH)), F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / STRETCH).cast("int")), stretch)
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), after, lambda a: F.flatten(a["out"]))
 
 
 def digits(x: Column) -> Column:
@@ -93,7 +110,9 @@ def base_spans(text: Column) -> Column:
 
 def masked(text: Column) -> Column:
     """The text with blanks for the addresses in it, at equal length; other kinds hold no letters."""
-    return F.when(text.contains("@"), F.aggregate(found(text, PATTERNS["email"], 0), text, lambda a, x: F.concat(F.substring(a, F.lit(1), x["s"]), F.rpad(F.lit(""), x["e"] - x["s"], " "), F.substring(a, x["e"] + 1, F.length(a))))).otherwise(text)
+    pieces, hits = F.split(text, PATTERNS["email"], -1), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))
+    blank = F.transform(F.arrays_zip(pieces.alias("0"), hits.alias("1")), lambda x: F.concat(x["0"], F.rpad(F.lit(""), F.coalesce(F.length(x["1"]), F.lit(0)), " ")))
+    return F.when(text.contains("@"), F.array_join(blank, "")).otherwise(text)
 
 
 def text_key() -> list[Column]:
@@ -117,9 +136,19 @@ def bands(hashes: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.transform(places(b), lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k))))))
 
 
+def entities_of(x: Column) -> Column:
+    """The entities that a span stands for: its value, and what it shares with others of its kind."""
+    value, kind = F.lower(x["v"]), x["k"].cast("string")
+    wide = (
+        F.when(x["k"] == KINDS.index("email"), F.substring_index(value, "@", -1)).when(x["k"] == KINDS.index("ip"), F.substring_index(value, ".", 2))
+        .when(x["k"] == KINDS.index("card"), F.substring(digits(value), 1, 6)).otherwise(F.substring(digits(value), 1, 4))
+    )
+    return F.array(F.concat(kind, F.lit(":"), value), F.concat(kind, F.lit("~"), wide))
+
+
 def supported(protected: DataFrame, entities: DataFrame, support: int) -> DataFrame:
     """The rows of `entities` (__h1, __h2, entity) whose entity stands in `support` texts or more, near
-    copies among them counted once."""
+    copies among them counted once; `one` is the same for texts of an entity that are near copies."""
     often = entities.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("entity")
     met = written(entities.join(often, "entity").withColumn("node", F.xxhash64("entity", "__h1", "__h2")), "met")
     hashes = protected.join(met.select("__h1", "__h2").distinct(), ["__h1", "__h2"]).select("__h1", "__h2", triples(F.col("__text")).alias("hashes"))
@@ -128,59 +157,83 @@ def supported(protected: DataFrame, entities: DataFrame, support: int) -> DataFr
     rows = written(keys, "bands").select("__h1", "__h2", F.posexplode("bands").alias("part", "key")).join(met, ["__h1", "__h2"]).select("entity", "part", "key", "node")
     least = rows.groupBy("entity", "part", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = connected_components(rows.join(least, ["entity", "part", "key"]).select(F.col("node").alias("a"), "b"))
-    counted = met.join(copies, "node", "left").groupBy("entity").agg(F.count_distinct(F.coalesce("root", "node")).alias("n")).where(F.col("n") >= support)
-    return met.join(counted.select("entity"), "entity").select("__h1", "__h2", "entity")
+    known = written(met.join(copies, "node", "left").select("__h1", "__h2", "entity", F.coalesce("root", "node").alias("one")), "known")
+    counted = known.groupBy("entity").agg(F.count_distinct("one").alias("n")).where(F.col("n") >= support)
+    return known.join(counted.select("entity"), "entity").select("__h1", "__h2", "entity", "one")
+
+
+def counted(texts: DataFrame, wanted: DataFrame, found: Callable[[Column], Column], name: str) -> DataFrame:
+    """How many different texts hold each of `wanted` (a column `name`), by what `found` takes from a text.
+    Where `wanted` is small, only what it names is shuffled."""
+    side = F.broadcast(wanted) if small_enough(wanted, F.length(name) * 4 + 16) else wanted
+    each = texts.select(*text_key(), F.explode(found(masked(F.col("__text")))).alias(name)).join(side, name, "left_semi")
+    return each.distinct().groupBy(name).agg(F.count("*").alias(f"n_{name}"))
+
+
+def beginnings(text: Column) -> Column:
+    return F.array_distinct(F.transform(terms_of(text), lambda w: F.substring(w, 1, LETTERS)))
 
 
 def disclosing(texts: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame | None:
     """(__h1, __h2, terms): for each text with a protected entity, the terms that disclose one of
-    its entities; None if no entity is met often enough to tell.
+    its entities, each with what stands for it; None if no entity is met often enough to tell.
 
     Corpus statistics count all different texts. Entity e has the information ln(N / n_e); term t
-    tells ln(N n_te / (n_t n_e)) of it. Both count texts; an entity counts only if it stands in `support`
-    texts that aren't near copies of each other, wherever it stands in them. `texts` has __text.
+    tells ln(N n_te / (n_t n_e)) of it, and discloses it from `share` of the information on. Near
+    copies among an entity's texts count once, n_te from `support` on, wherever e and t stand
+    in them. The first letters of a term stand for it unless they as well disclose
+    the entity; then TERM does. `texts` has __text.
     """
     protected = texts.select(*text_key(), "__text", base_spans(F.col("__text")).alias("__spans")).where("size(__spans) > 0")
     protected = written(protected.dropDuplicates(["__h1", "__h2"]), "protected")
-    each = protected.select("__h1", "__h2", "__text", F.explode("__spans").alias("x"))
-    entities = each.select("__h1", "__h2", F.concat(F.col("x.k").cast("string"), F.lit(":"), F.lower("x.v")).alias("entity")).distinct()
-    chosen = written(supported(protected, written(entities, "entities"), support), "entities")
+    each = protected.select("__h1", "__h2", F.explode(F.flatten(F.transform("__spans", entities_of))).alias("entity"))
+    chosen = written(supported(protected, written(each.distinct(), "entities"), support), "entities")
     if chosen.isEmpty():
         return None
-    n_e = chosen.groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_e = chosen.groupBy("entity").agg(F.count_distinct("one").alias("n_e"))
     held = protected.join(chosen.select("__h1", "__h2").distinct(), ["__h1", "__h2"]).select("__h1", "__h2", F.explode(terms_of(masked(F.col("__text")))).alias("term"))
     held = written(held, "terms")
-    pairs = held.join(chosen, ["__h1", "__h2"]).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    pairs = held.join(chosen, ["__h1", "__h2"]).groupBy("entity", "term").agg(F.count_distinct("one").alias("n_te"), F.count("*").alias("raw")).where(F.col("n_te") >= support)
     total = texts.select(*text_key()).distinct().count()
     # a pair needs n_t <= n_te (N / n_e) ** (1 - share); protected texts alone show that most terms are met too often
     least = protected.select(F.explode(terms_of(masked(F.col("__text")))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    pairs = pairs.join(n_e, "entity").join(least, "term").where(f"n_e < {total} and least <= 1.000001 * n_te * pow({total} / cast(n_e as double), 1 - {share})").drop("least")
+    pairs = pairs.join(n_e, "entity").join(least, "term").where(f"n_e < {total} and least - raw + n_te <= 1.000001 * n_te * pow({total} / cast(n_e as double), 1 - {share})").drop("least")
     pairs = written(pairs, "pairs")
-    wanted = pairs.select("term").distinct()
-    corpus = texts.select(*text_key(), "__text").dropDuplicates(["__h1", "__h2"])
-    n_t = corpus.select(F.explode(terms_of(masked(F.col("__text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
-    told = pairs.join(n_t, "term").where(f"ln({total} * cast(n_te as double) / n_t / n_e) >= {share} * ln({total} / cast(n_e as double))")
-    hits = held.join(chosen, ["__h1", "__h2"]).join(told.select("entity", "term"), ["entity", "term"], "left_semi")
-    return written(hits.groupBy("__h1", "__h2").agg(F.sort_array(F.collect_set("term")).alias("terms")), "disclosing")  # a text's own terms
+    if pairs.isEmpty():
+        return None
+    tells = f"ln({total} * cast({{0}} as double) / ({{1}} - raw + {{0}}) / n_e) >= {share} * ln({total} / cast(n_e as double))"
+    n_t = counted(texts, pairs.select("term").distinct(), terms_of, "term")
+    told = written(pairs.join(n_t, "term").where(tells.format("n_te", "n_term")).select("entity", "term", "n_e", F.substring("term", 1, LETTERS).alias("start")), "told")
+    if told.isEmpty():
+        return None
+    starts = told.select("entity", "start").distinct()
+    mine = held.select("__h1", "__h2", F.substring("term", 1, LETTERS).alias("start")).distinct().join(chosen, ["__h1", "__h2"]).join(starts, ["entity", "start"])
+    n_se = mine.groupBy("entity", "start").agg(F.count_distinct("one").alias("n_se"), F.count("*").alias("raw"))
+    n_s = counted(texts, told.select("start").distinct(), beginnings, "start")
+    shown = told.join(n_se, ["entity", "start"]).join(n_s, "start").select("entity", "term", F.expr(tells.format("n_se", "n_start")).alias("closed"))
+    hits = held.join(chosen, ["__h1", "__h2"]).join(shown, ["entity", "term"]).groupBy("__h1", "__h2", "term").agg(F.bool_or("closed").alias("closed"))
+    stand = F.when(F.col("closed"), "<TERM>").otherwise(F.concat(F.substring("term", 1, LETTERS), F.lit("*")))
+    pair = F.struct("term", stand.alias("shown"))
+    return written(hits.groupBy("__h1", "__h2").agg(F.sort_array(F.collect_list(pair)).alias("terms")), "disclosing")  # a text's own terms
 
 
 def with_spans(docs: DataFrame, columns: list[Column]) -> DataFrame:
-    """`columns`, __text, __base and __all: spans of the base kinds, and with the terms."""
+    """`columns`, __text, __terms, __base and __all: spans of the base kinds, and with the terms."""
     texts = docs.select(*columns, F.coalesce("text", F.lit("")).alias("__text"))
     told = disclosing(texts.select("__text"))
     spans = texts.withColumn("__base", base_spans(F.col("__text")))
     if told is None:
-        return spans.withColumn("__all", F.col("__base"))
+        return spans.withColumns({"__all": F.col("__base"), "__terms": F.lit(None).cast("array<struct<term:string,shown:string>>")})
     side = told.withColumnsRenamed({"__h1": "__k1", "__h2": "__k2", "terms": "__terms"})
-    if small_enough(side, F.size("__terms") * 24 + 32):
+    if small_enough(side, F.size("__terms") * 64 + 32):
         side = F.broadcast(side)
     h1, h2 = text_key()
     keyed = spans.select("*", h1, h2)
     joined = keyed.join(side, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
     kind = KINDS.index("term")
-    words = F.filter(found(masked(F.col("__text")), TERM, kind), lambda x: F.array_contains("__terms", F.lower(x["v"])))
+    words = F.filter(found(masked(F.col("__text")), TERM, kind), lambda x: F.array_contains(F.transform("__terms", lambda t: t["term"]), F.lower(x["v"])))
     every = F.when(F.col("__terms").isNull(), F.col("__base")).otherwise(F.array_sort(F.concat("__base", words)))
-    return joined.withColumn("__all", every).drop("__h1", "__h2", "__k1", "__k2", "__terms")
+    return joined.withColumn("__all", every).drop("__h1", "__h2", "__k1", "__k2")
 
 
 def listed(spans: Column) -> Column:
@@ -191,26 +244,33 @@ def listed(spans: Column) -> Column:
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts of each base kind, base_sha256 and spans of every row; null counts as empty,
-    equal rows give equal results."""
+    equal rows give equal results; an empty table gives none; other columns don't matter."""
     rows = with_spans(docs, [F.col("doc_id")])
     counts = [F.size(F.filter("__base", partial(_of, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
     return rows.select("doc_id", *counts, F.sha2(listed(F.col("__base")), 256).alias("base_sha256"), listed(F.col("__all")).alias("spans"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """`docs` with a name of its kind, like <EMAIL>, for each span: a span that begins inside an
-    earlier one goes with it. n_chars, if there, follows the text; null texts stay null."""
+    """`docs` with a name of its kind, like <EMAIL>, for each span, and for a term its first letters or
+    <TERM>: a span that begins inside an earlier one goes with it. n_chars, if there, follows the text;
+    null texts stay null; an empty table stays one."""
     rows = with_spans(docs, [F.col(c) for c in docs.columns])
     name = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int,v:string>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        before = F.substring("__text", a["at"] + 1, x["s"] - a["at"])
-        own = F.struct(x["e"].alias("at"), F.concat(a["out"], before, F.element_at(name, x["k"] + 1)).alias("out"))
-        return F.when(x["s"] >= a["at"], own).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
+    def outer(a: Column, x: Column) -> Column:
+        more = F.struct(x["e"].alias("at"), F.concat(a["out"], F.array(x)).alias("out"))
+        wider = F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.transform(a["out"], lambda y, k: F.when(k == F.size(a["out"]) - 1, F.struct(y["s"].alias("s"), y["k"].alias("k"), F.greatest(y["e"], x["e"]).alias("e"), y["v"].alias("v"))).otherwise(y)).alias("out"))
+        return F.when(x["s"] >= a["at"], more).otherwise(wider)
+
+    def shown(x: Column) -> Column:
+        term = F.get(F.filter("__terms", lambda t: t["term"] == F.lower(x["v"])), F.lit(0))["shown"]
+        return F.when(x["k"] == KINDS.index("term"), term).otherwise(F.element_at(name, x["k"] + 1))
 
-    rest = F.aggregate("__all", start, step, lambda a: F.concat(a["out"], F.substring("__text", a["at"] + 1, F.length("__text"))))
-    text = F.when(F.size("__all") == 0, F.col("text")).otherwise(rest)
+    cuts = F.aggregate("__all", start, outer, lambda a: a["out"])
+    ends = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda x: x["e"]))
+    gaps = F.transform(F.arrays_zip(ends.alias("a"), cuts.alias("x")), lambda y: F.concat(F.substring("__text", y["a"] + 1, F.coalesce(y["x"]["s"], F.length("__text")) - y["a"]), F.when(y["x"].isNull(), "").otherwise(shown(y["x"]))))
+    text = F.when(F.size("__all") == 0, F.col("text")).otherwise(F.array_join(gaps, ""))
     out = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__all") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -218,4 +278,6 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
+    """Counts and spans of every document. Null, empty and very long texts, repeated rows, empty tables,
+    further columns: see `spans`."""
     return spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))

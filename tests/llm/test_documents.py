@@ -1,7 +1,9 @@
 """The operators on documents against plain versions, over whole small tables and odd rows."""
 
 import json
+import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -245,6 +247,87 @@ def test_pii_terms(spark):
     assert clean[0] == "Notes say that <TERM> office wrote aaaaaaaaaaaa <EMAIL> nnnnnnnnnnnn about item today" and clean[100] == rows[6][1]
 
 
+def plain_terms(rows, support=pii.SUPPORT, share=pii.SHARE):
+    """doc_id: term spans and what stands for them; texts with equal sets of words in triples are near copies."""
+    blank = lambda t: re.sub(brute.PII["email"], lambda m: " " * len(m[0]), t)
+    words = lambda t: re.findall(r"[^\W\d_]+", blank(t).lower())
+    texts = sorted({t for _, t in rows})
+    terms = {t: {w for w in words(t) if len(w) >= pii.LETTERS} for t in texts}
+    copy = {t: frozenset(zip(*(words(t)[k:] + [""] * k for k in range(3)), strict=False)) for t in texts}
+    met = {}
+    for t in texts:
+        for a, _, b, kind in brute.base_spans(t):
+            v = t[a:b].lower()
+            d = re.sub("[^0-9]", "", v)
+            for e in (kind + v, {"email": "@" + v.rpartition("@")[2], "ip": "." + ".".join(v.split(".")[:2]), "card": "c" + d[:6], "phone": "p" + d[:4]}[kind]):
+                met.setdefault(e, set()).add(t)
+    told, n = {}, len(texts)
+    for e, own in met.items():
+        n_e = len({copy[t] for t in own})
+        if n_e < support or n_e >= n:
+            continue
+        tells = lambda n_xe, n_x: math.log(n * n_xe / n_x / n_e) >= share * math.log(n / n_e)
+        for w in set().union(*(terms[t] for t in own)):
+            n_te = len({copy[t] for t in own if w in terms[t]})
+            raw = sum(w in terms[t] for t in own)
+            if n_te >= support and tells(n_te, sum(w in terms[t] for t in texts) - raw + n_te):
+                start = w[: pii.LETTERS]
+                begins = {t for t in texts if any(x.startswith(start) for x in terms[t])}
+                n_se = len({copy[t] for t in own & begins})
+                closed = tells(n_se, len(begins) - len(own & begins) + n_se)
+                for t in own:
+                    if w in terms[t]:
+                        told.setdefault(t, {}).setdefault(w, set()).add(closed)
+    out = {}
+    for i, t in rows:
+        spans = [(m.start(), m.end(), "<TERM>" if True in told[t][m[0].lower()] else m[0].lower()[: pii.LETTERS] + "*") for m in re.finditer(r"[^\W\d_]+", blank(t)) if m[0].lower() in told.get(t, ())]
+        out[i] = spans
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pii_terms_plain(spark, seed):
+    """Terms by value and by domain, network, issuer and area, and their generalisation, against a plain version."""
+    random.seed(seed)
+    filler = ["".join(random.choices("bcdfghjklm", k=3)) + "aeiou"[k % 5] * 3 for k in range(150)]
+    rows = []
+    for k in range(320):
+        text = random.choices(filler, k=25)
+        if k % 8 == 0:
+            text[3:3] = ["Zanzibar", f"x{k}@one.example"]  # by domain; removed
+        if k % 8 == 1 and k < 80:
+            text[5:5] = ["boss@corp.example", filler[0][:3] + "mutt"]  # by value; its beginning is common
+        if k % 16 == 2:
+            text += ["quagga", f"10.7.{k % 250}.9"]
+        if k % 16 == 3:
+            text += [f"+49 30 555 {1000 + k}", "wombat" if k % 32 == 3 else "tapir"]
+        rows.append((k, " ".join(text)))
+    rows += [(1000 + k, rows[8][1] + "  " * k) for k in range(5)] + [(2000, rows[0][1]), (2001, None)]
+    want = plain_terms([(i, t or "") for i, t in rows])
+    got = {r.doc_id: r.spans for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: [tuple(map(int, x.split(":")[1:])) for x in s.split(",") if x.startswith("term")] for i, s in got.items()} == {i: [x[:2] for x in s] for i, s in want.items()}
+    shown = {x[2] for s in want.values() for x in s}
+    assert "<TERM>" in shown and filler[0][:3] + "*" in shown
+    clean = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        spans = sorted([(a, b, f"<{k.upper()}>") for a, _, b, k in brute.base_spans(t)] + want[i])
+        at, out = 0, ""
+        for a, b, name in spans:
+            if a >= at:
+                out, at = out + t[at:a] + name, b
+            at = max(at, b)
+        assert clean[i] == (None if t is None else out + t[at:])
+
+
+def test_pii_many_spans(spark):
+    """Very many matches and terms in one text."""
+    text = " ".join(f"user{k}@mail{k % 7}.example.com word{k}" for k in range(4000))
+    got = pii.spans(spark.createDataFrame([(1, text), (2, text + " x")], "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[:-1] for r in got) == [brute.pii(1, text), brute.pii(2, text + " x")]
+    clean = pii.sanitised(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert clean == re.sub(brute.PII["email"], "<EMAIL>", text)
+
+
 @pytest.mark.parametrize("form", ["{0} boss@corp.example", "boss@corp.example {0}", "{0} contact us at boss@corp.example"])
 def test_pii_terms_in_place(spark, form):
     """An entity that always ends or begins the text, or has a fixed lead, counts; near copies count once."""
