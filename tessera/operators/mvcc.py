@@ -84,14 +84,18 @@ class Transactions:
 
 def with_states(versions: DataFrame, states: DataFrame) -> DataFrame:
     """`versions` with state_min and state_max of (xid, state): 0 aborted, 2 committed, unknown ids
-    running. The table of states may be large, so adaptive execution chooses how to join it."""
+    running. The table of states may be large, so adaptive execution chooses how to join it. Rows
+    without a transaction, or with a frozen one, match no state; in a shuffle they are spread out
+    by their own hash, since most rows of a table are such."""
 
     def state(xid: str, of: Column) -> Column:
         return F.when(F.col(xid) == INVALID, ABORTED).when(F.col(xid) == FROZEN, COMMITTED).otherwise(F.coalesce(of, F.lit(RUNNING)))
 
     a = states.select(F.col("xid").alias("__a"), F.col("state").alias("__sa"))
     b = states.select(F.col("xid").alias("__b"), F.col("state").alias("__sb"))
-    joined = versions.join(a, F.col("xmin") == F.col("__a"), "left").join(b, F.col("xmax") == F.col("__b"), "left")
+    apart = -1 - F.pmod(F.xxhash64(*versions.columns), F.lit(1 << 20))
+    key = lambda xid: F.when(F.col(xid) >= FIRST, F.col(xid)).otherwise(apart)
+    joined = versions.join(a, key("xmin") == F.col("__a"), "left").join(b, key("xmax") == F.col("__b"), "left")
     return joined.withColumns({"state_min": state("xmin", F.col("__sa")), "state_max": state("xmax", F.col("__sb"))}).drop("__a", "__b", "__sa", "__sb")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import mvcc
+from tessera.functions.lsn import SEGMENT
+from tessera.operators import blocks, mvcc
 
 #: Resource managers by number.
 MANAGERS = "XLOG Transaction Storage CLOG Database Tablespace MultiXact RelMap Standby Heap2 Heap Btree Hash Gin Gist Sequence SPGist BRIN CommitTimestamp LogicalMessage".split()
@@ -18,32 +21,64 @@ OPERATIONS = {
     XACT: (0xF0, {0x00: "COMMIT", 0x10: "PREPARE", 0x20: "ABORT", 0x30: "COMMIT_PREPARED", 0x40: "ABORT_PREPARED", 0x50: "ASSIGNMENT", 0x60: "INVALIDATIONS"}),
     HEAP2: (0x70, {0x00: "REWRITE", 0x10: "PRUNE", 0x20: "VACUUM", 0x30: "FREEZE_PAGE", 0x40: "VISIBLE", 0x50: "MULTI_INSERT", 0x60: "LOCK_UPDATED", 0x70: "NEW_CID"}),
     HEAP: (0x70, {0x00: "INSERT", 0x10: "DELETE", 0x20: "UPDATE", 0x40: "HOT_UPDATE"}),
+    BTREE: (0xF0, dict(zip(range(0, 0x100, 0x10), "INSERT_LEAF INSERT_UPPER INSERT_META SPLIT_L SPLIT_R SPLIT_L_ROOT SPLIT_R_ROOT VACUUM DELETE MARK_HALF_DEAD UNLINK_PAGE UNLINK_PAGE_META NEWROOT REUSE_PAGE META_CLEANUP INSERT_POST".split(), strict=True))),
 }
 TUPLE_HEADER, MULTI_HEADER = 24, 7
 
 
-def manager_name(rmgr_id: Column) -> Column:
-    names = F.array(*map(F.lit, MANAGERS))
-    return F.when(rmgr_id.between(0, len(MANAGERS) - 1), F.try_element_at(names, rmgr_id + 1)).otherwise(F.format_string("Rmgr(%d)", rmgr_id))
+@dataclass(frozen=True)
+class Manager:
+    """A resource manager: its name, the bits of info that name an operation and these names, what its
+    records do to a block (nothing if only images count), and whether they are applied at all."""
+
+    name: str
+    mask: int = 0xF0
+    operations: dict[int, str] = field(default_factory=dict)
+    redo: blocks.Redo | None = None
+    applied: bool = True
+
+
+def _images_only(page: object, record: dict) -> None:
+    """Records that change a block by their images alone."""
+
+
+_REDO = {HEAP2: blocks.heap2, HEAP: blocks.heap, BTREE: blocks.btree}
+#: The managers by number; `registered` gives such a table with further ones.
+REGISTRY = {k: Manager(name, *OPERATIONS.get(k, (0xF0, {})), _REDO.get(k), k in APPLIED) for k, name in enumerate(MANAGERS)}
+
+
+def registered(number: int, manager: Manager, registry: dict[int, Manager] = REGISTRY) -> dict[int, Manager]:
+    """The registry with one more manager. A number is given once."""
+    if not 0 <= number <= 255 or (number in registry and registry[number].applied):
+        raise ValueError(f"manager {number} is taken or out of range")
+    return registry | {number: manager}
 
 
-def operation(rmgr_id: Column, info: Column) -> Column:
+def manager_name(rmgr_id: Column, registry: dict[int, Manager] = REGISTRY) -> Column:
+    out = F.format_string("Rmgr(%d)", rmgr_id)
+    for number, manager in registry.items():
+        out = F.when(rmgr_id == number, manager.name).otherwise(out)
+    return out
+
+
+def operation(rmgr_id: Column, info: Column, registry: dict[int, Manager] = REGISTRY) -> Column:
     """The operation's name, op=0x.. if it has none."""
     out = F.format_string("op=0x%02X", info.bitwiseAND(F.lit(0xF0)))
-    for manager, (mask, names) in OPERATIONS.items():
-        for code, name in names.items():
-            out = F.when((rmgr_id == manager) & (info.bitwiseAND(F.lit(mask)) == code), name).otherwise(out)
+    for number, manager in registry.items():
+        for code, name in manager.operations.items():
+            out = F.when((rmgr_id == number) & (info.bitwiseAND(F.lit(manager.mask)) == code), name).otherwise(out)
     return out
 
 
-def described(records: DataFrame) -> DataFrame:
-    known = F.col("rmgr_id").isin(*APPLIED)
-    return records.withColumns({"rmgr": manager_name(F.col("rmgr_id")), "op": operation(F.col("rmgr_id"), F.col("info")), "applied": known, "skip_reason": F.when(~F.col("rmgr_id").between(0, len(MANAGERS) - 1), "unknown").when(~known, "not applied")})
+def described(records: DataFrame, registry: dict[int, Manager] = REGISTRY) -> DataFrame:
+    known = F.col("rmgr_id").isin([k for k, m in registry.items() if m.applied])
+    reason = F.when(~F.col("rmgr_id").isin(list(registry)), "unknown").when(~known, "not applied")
+    return records.withColumns({"rmgr": manager_name(F.col("rmgr_id"), registry), "op": operation(F.col("rmgr_id"), F.col("info"), registry), "applied": known, "skip_reason": reason})
 
 
-def summary(records: DataFrame) -> DataFrame:
+def summary(records: DataFrame, registry: dict[int, Manager] = REGISTRY) -> DataFrame:
     """Records, skipped ones and bytes by manager."""
-    return described(records).groupBy("rmgr").agg(F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("skipped"), F.sum("tot_len").alias("bytes"))
+    return described(records, registry).groupBy("rmgr").agg(F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("skipped"), F.sum("tot_len").alias("bytes"))
 
 
 def _u16(data: Column, at: Column | int) -> Column:
@@ -92,20 +127,33 @@ def endings(records: DataFrame) -> DataFrame:
     return ends.select("xid", "lsn", F.when(F.col("op").startswith("COMMIT"), "COMMIT").otherwise("ABORT").alias("op"))
 
 
-def with_ends(log: DataFrame) -> DataFrame:
+def with_ends(log: DataFrame, stretch: int = SEGMENT) -> DataFrame:
     """A log (xid, lsn, op, ...) with end_lsn and end_op, the next COMMIT or ABORT of its xid. An id
-    may come again after its end. Only one transaction id's rows are ordered together."""
-    after = Window.partitionBy("xid").orderBy("lsn").rowsBetween(1, Window.unboundedFollowing)
-    end = F.first(F.when(F.col("op").isin("COMMIT", "ABORT"), F.struct(F.col("lsn").alias("end_lsn"), F.col("op").alias("end_op"))), ignorenulls=True).over(after)
-    return log.withColumn("__end", end).select("*", "__end.end_lsn", "__end.end_op").drop("__end")
-
-
-def decoded(log: DataFrame) -> DataFrame:
-    """Changes of committed transactions: xid, commit_lsn, lsn, op, and seq, their order within it."""
-    kept = with_ends(log).where(F.col("op").isin("INSERT", "UPDATE", "DELETE") & (F.col("end_op") == "COMMIT"))
+    may come again after its end. A transaction's rows are ordered by stretches of the log, so a long
+    one is many tasks; what ends a stretch's last rows comes from the later stretches' first ends."""
+    end = F.when(F.col("op").isin("COMMIT", "ABORT"), F.struct(F.col("lsn").alias("end_lsn"), F.col("op").alias("end_op")))
+    rows = log.withColumn("__at", F.floor(F.col("lsn") / stretch).cast("long"))
+    firsts = rows.groupBy("xid", "__at").agg(F.min(end).alias("__first"))  # a row for each stretch of a transaction
+    later = Window.partitionBy("xid").orderBy("__at").rowsBetween(1, Window.unboundedFollowing)
+    after = firsts.withColumn("__later", F.first("__first", ignorenulls=True).over(later)).select("xid", "__at", "__later")
+    inside = Window.partitionBy("xid", "__at").orderBy("lsn").rowsBetween(1, Window.unboundedFollowing)
+    known = rows.withColumn("__end", F.first(end, ignorenulls=True).over(inside)).join(after, ["xid", "__at"])
+    found = F.coalesce("__end", "__later")
+    return known.select(*log.columns, found["end_lsn"].alias("end_lsn"), found["end_op"].alias("end_op"))
+
+
+def decoded(log: DataFrame, stretch: int = SEGMENT) -> DataFrame:
+    """Changes of committed transactions: xid, commit_lsn, lsn, op, and seq, their order within it.
+    They are numbered by stretches of the log, each from the number of changes before it."""
+    kept = with_ends(log, stretch).where(F.col("op").isin("INSERT", "UPDATE", "DELETE") & (F.col("end_op") == "COMMIT")).drop("end_op").withColumnRenamed("end_lsn", "commit_lsn")
     order = [c for c in ("lsn", "seq") if c in log.columns]
-    number = F.row_number().over(Window.partitionBy("xid", "end_lsn").orderBy(*order)).cast("long")
-    return kept.drop("end_op").withColumn("seq", number).withColumnRenamed("end_lsn", "commit_lsn")
+    rows = kept.withColumn("__at", F.floor(F.col("lsn") / stretch).cast("long"))
+    group = ["xid", "commit_lsn"]
+    counts = rows.groupBy(*group, "__at").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__at")) - F.col("__n")
+    number = F.row_number().over(Window.partitionBy(*group, "__at").orderBy(*order))
+    joined = rows.withColumn("__k", number).join(counts.withColumn("__before", before).drop("__n"), [*group, "__at"])
+    return joined.withColumn("seq", (F.col("__k") + F.col("__before")).cast("long")).drop("__k", "__before", "__at")
 
 
 def pending(log: DataFrame) -> DataFrame:
@@ -124,33 +172,21 @@ def states(records: DataFrame) -> DataFrame:
     return endings(records).groupBy("xid").agg(F.max_by(F.when(F.col("op") == "COMMIT", mvcc.COMMITTED).otherwise(mvcc.ABORTED), "lsn").alias("state"))
 
 
-def redo(records: DataFrame) -> DataFrame:
+def redo_pages(records: DataFrame, registry: dict[int, Manager] = REGISTRY) -> DataFrame:
+    """Each block after replay (`blocks.PAGES`). Each record applies once however often it comes; a
+    page image takes the place of all that its block held before. Records of managers that aren't
+    applied or are unknown are skipped."""
+    return blocks.redone(records, {k: m.redo or _images_only for k, m in registry.items() if m.applied})
+
+
+def redo(records: DataFrame, registry: dict[int, Manager] = REGISTRY) -> DataFrame:
     """Row versions after replay: rel, fork, block, offnum, xmin, xmax, cid, tuple, lsn.
 
-    Each effect applies once however often its record comes. The last insert at a place wins; a
-    delete, or an update for its old place, sets xmax there, which counts once it commits. A page
-    image takes the place of all that its block held before.
+    The last insert at a place wins; a delete, or an update for its old place, sets xmax there, which
+    counts once it commits. Rows of a page image have the transactions that their headers name.
+    Places that pruning or vacuum freed hold no row.
     """
-    once = described(records).dropDuplicates(["lsn"])
-    heap = once.where((F.col("rmgr_id") == HEAP) & (F.size("block_refs") > 0)).withColumns({"b": F.col("block_refs")[0], "old": F.try_element_at("block_refs", F.lit(2))})
-    image = lambda b: F.coalesce(F.col(f"{b}.image").isNotNull() & (F.col(f"{b}.image_flags").bitwiseAND(F.lit(4)) != 0), F.lit(False))
-    images = once.select("lsn", F.explode("block_refs").alias("b")).where(image("b")).groupBy("b.rel", "b.fork", "b.block").agg(F.max("lsn").alias("image_lsn"))
-    main = F.col("main_data")
-    update = F.col("op").isin("UPDATE", "HOT_UPDATE")
-    put = changes(once).where("op <> 'DELETE'").select("rel", F.lit(0).alias("fork"), "block", "offnum", "lsn", F.col("xid").alias("xmin"), F.lit(None).cast("long").alias("xmax"), "tuple")
-    # an image of an update's new block says nothing about the old place on another one
-    logged = F.when(update & F.col("old").isNotNull(), ~image("old")).otherwise(~image("b"))
-    hit = heap.where((update | (F.col("op") == "DELETE")) & logged)
-    block = F.when(update & F.col("old").isNotNull(), F.col("old.block")).otherwise(F.col("b.block"))
-    offnum = F.when(F.col("op") == "DELETE", _u16(main, 4)).otherwise(_u16(main, 0))
-    cut = hit.select("b.rel", "b.fork", block.alias("block"), offnum.alias("offnum"), "lsn", F.lit(None).cast("long").alias("xmin"), F.col("xid").alias("xmax"), F.lit(None).cast("binary").alias("tuple"))
-    effects = put.unionByName(cut).join(images, ["rel", "fork", "block"], "left").where("image_lsn is null or lsn > image_lsn")
-    slot = effects.groupBy("rel", "fork", "block", "offnum").agg(
-        F.max_by(F.struct("lsn", "xmin", "tuple"), F.when(F.col("xmin").isNotNull(), F.col("lsn"))).alias("put"),
-        F.collect_list(F.when(F.col("xmax").isNotNull(), F.struct("lsn", "xmax"))).alias("cuts"),  # the deletes of one place
-    )
-    later = F.array_max(F.filter("cuts", lambda x: x["lsn"] > F.col("put.lsn")))["xmax"]
-    return slot.where("put.xmin is not null").select("rel", "fork", "block", "offnum", "put.xmin", F.coalesce(later, F.lit(0).cast("long")).alias("xmax"), F.lit(0).cast("long").alias("cid"), "put.tuple", "put.lsn")
+    return blocks.rows_of(redo_pages(records, registry))
 
 
 def recovered(records: DataFrame, snapshot: mvcc.Snapshot | None = None) -> DataFrame:

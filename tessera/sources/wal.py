@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,41 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
+_STEPS = np.array(_CRC, np.uint32)
+#: Records that are decoded at a time.
+TOGETHER = 20_000
+#: Records of like length from which on their checksums are computed side by side.
+SIDE_BY_SIDE = 32
+
+
+def checksums(data: list[bytes]) -> list[int]:
+    """CRC-32C of each. Records of like length are aligned at their ends and go through the table a
+    column at a time: zeros in front leave a zero register as it is, and the register's start is
+    folded into the first four bytes."""
+    out = [0] * len(data)
+    kinds: dict[int, list[int]] = {}
+    for k, x in enumerate(data):
+        kinds.setdefault(len(x).bit_length(), []).append(k)
+    for bits, own in kinds.items():
+        if len(own) < SIDE_BY_SIDE or bits < 3:
+            for k in own:
+                out[k] = crc32c(data[k])
+            continue
+        for at in range(0, len(own), max(1, (32 << 20) >> bits)):
+            some = own[at : at + max(1, (32 << 20) >> bits)]
+            width = max(len(data[k]) for k in some)
+            table = np.frombuffer(b"".join(data[k].rjust(width, b"\0") for k in some), np.uint8).reshape(len(some), width).T.copy()
+            start = width - np.array([len(data[k]) for k in some])
+            for j in range(4):
+                table[start + j, np.arange(len(some))] ^= 0xFF
+            crc = np.zeros(len(some), np.uint32)
+            for column in table:
+                crc = _STEPS[(crc ^ column) & np.uint32(0xFF)] ^ crc >> np.uint32(8)
+            for k, x in zip(some, (crc ^ np.uint32(0xFFFFFFFF)).tolist(), strict=True):
+                out[k] = x
+    return out
+
+
 def crc32c(*parts: bytes) -> int:
     crc = 0xFFFFFFFF
     for part in parts:
@@ -126,14 +163,14 @@ class _Reader:
         return self.data[self.at - n : self.at]
 
 
-def decode(data: bytes, lsn: int) -> Record:
-    """The record at the start of `data`, if its length and CRC are right."""
+def decode(data: bytes, lsn: int, known: int | None = None) -> Record:
+    """The record at the start of `data`, if its length and CRC (`known` if computed already) are right."""
     if len(data) < HEADER:
         raise LogError("a record is too short")
     total, xid, prev, info, rmgr, crc = struct.unpack("<IIQBBxxI", data[:HEADER])
     if not HEADER <= total <= min(MOST_BYTES, len(data)):
         raise LogError(f"a record of {total} bytes")
-    if crc32c(data[HEADER:total], data[:20]) != crc:
+    if (crc32c(data[HEADER:total], data[:20]) if known is None else known) != crc:
         raise LogError(f"CRC mismatch at {lsn}")
     r, blocks, sizes, place = _Reader(data[HEADER:total]), [], [], (0, 0, 0)
     while (number := r.take("<B")[0]) != END_OF_BLOCKS:
@@ -248,17 +285,28 @@ def records_in(data: bytes, start: int, timeline: int, size: int = SEGMENT) -> I
             at, n = at + step, n - step
         return b"".join(out)
 
+    held: list[tuple[int, bytes]] = []
+
+    def decoded() -> Iterator[Record]:
+        for (lsn, data), crc in zip(held, checksums([x[HEADER:] + x[:20] for _, x in held]), strict=True):
+            yield decode(data, lsn, crc)
+        held.clear()
+
     while enter():
         lsn = start + at
         head = read(HEADER)
         if head is None or not (total := struct.unpack_from("<I", head)[0]):
-            return
+            break
         if not HEADER <= total <= MOST_BYTES:
+            yield from decoded()
             raise LogError(f"a record of {total} bytes at {lsn}")
         rest = read(padded(total) - HEADER)
         if rest is None:
-            return
-        yield decode((head + rest)[:total], lsn)
+            break
+        held.append((lsn, (head + rest)[:total]))
+        if len(held) >= TOGETHER:
+            yield from decoded()
+    yield from decoded()
 
 
 def write_segments(spark: SparkSession, segments: Segments, folder: str) -> None:
@@ -271,15 +319,28 @@ def write_segments(spark: SparkSession, segments: Segments, folder: str) -> None
         out.close()
 
 
+def listed(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(path, name) of the files in a folder, by Spark's file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return sorted((f.getPath().toString(), f.getPath().getName()) for f in path.getFileSystem(conf).listStatus(path))
+
+
 def read_log(spark: SparkSession, folder: str, timeline: int = 1, start: int = 0, end: int | None = None, size: int = SEGMENT) -> DataFrame:
-    """Records that begin in [start, end), one task a segment. Segments are told by their file
-    names; those outside the range aren't opened for records; a missing one just ends there."""
-    per, names = (1 << 32) // size, "^[0-9A-F]{24}$"
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    """Records that begin in [start, end), one task a segment or a few. Segments are told by their file
+    names, and only those in the range are read; a missing one just ends there."""
+    per = (1 << 32) // size
+    wanted = []
+    for path, name in listed(spark, folder):
+        if re.fullmatch("[0-9A-F]{24}", name) and int(name[:8], 16) == timeline:
+            at = (int(name[8:16], 16) * per + int(name[16:], 16)) * size
+            if at + size > start and (end is None or at < end):
+                wanted.append(path)
+    if not wanted:
+        return spark.createDataFrame([], SCHEMA)
+    files = spark.read.format("binaryFile").load(wanted).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     number = F.conv(F.substring("name", 9, 8), 16, 10).cast("long") * per + F.conv(F.substring("name", 17, 8), 16, 10).cast("long")
-    chosen = files.where(F.col("name").rlike(names) & (F.conv(F.substring("name", 1, 8), 16, 10).cast("int") == timeline)).select((number * size).alias("at"), "content").where(F.col("at") + size > start)
-    if end is not None:
-        chosen = chosen.where(F.col("at") < end)
+    chosen = files.select((number * size).alias("at"), "content")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "xid long, commit_lsn long, lsn long, op string, seq long"
@@ -44,3 +45,11 @@ def decoded(log: DataFrame) -> DataFrame:
     """A streaming log (xid, lsn, op) to committed changes. The state is one list an open
     transaction; with the RocksDB store it needs no memory of its own."""
     return log.select("xid", "lsn", "op").groupBy("xid").transformWithStateInPandas(Buffer(), OUTPUT, "append", "none")
+
+
+def delivered(log: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Runs the stream over what has come, and calls `handler` with each batch of committed changes,
+    ordered by commit and place in it, and the batch's number. A batch that failed comes again with
+    the same number."""
+    ordered = lambda batch, number: handler(batch.orderBy("commit_lsn", "seq"), number)
+    return decoded(log).writeStream.foreachBatch(ordered).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 """Records, segments, replay, decoding in batch and as a stream."""
 
+import random
 import struct
 
 import pytest
@@ -8,9 +9,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera import queries
+from tessera.operators import blocks as blocks_of
 from tessera.operators import replay
-from tessera.sources import wal
+from tessera.sources import pages, wal
 from tessera.sources.tables import work_path
+from tessera.streaming import decode
 
 SIZE = 1 << 16
 
@@ -123,8 +126,96 @@ def test_replay_is_idempotent(spark):
 
 
 def test_image_on_the_new_block_spares_the_old_place(spark):
-    got = load(spark, log(insert(10, 0, b"old"), end(10), update(11, 0, 9, b"new", image=b"page"), end(11)))
-    assert values(replay.recovered(got)) == []  # the new row is in the image
+    image = pages.image_of([pages.row(11, b"new")])
+    got = load(spark, log(insert(10, 0, b"old"), end(10), update(11, 0, 9, b"new", image=image), end(11)))
+    assert values(replay.recovered(got)) == ["new"]  # the new row is in the image
+    got = load(spark, log(insert(10, 0, b"old"), end(10), update(11, 0, 9, b"new", image=b"no page"), end(11, False)))
+    assert values(replay.recovered(got)) == ["old"]
+
+
+def test_image_rows(spark):
+    """Rows of an image, by their own headers, and what comes after it; a hole is filled with zeros."""
+    page = pages.image_of([pages.row(10, b"a"), None, pages.row(10, b"gone", xmax=11), 1, pages.row(10, b"kept", xmax=12), pages.row(7, b"frozen", mask=pages.XMIN_FROZEN), pages.row(10, b"alive", xmax=11, mask=pages.XMAX_INVALID)])
+    ref = wal.Block(0, 1, 0, image=page[:60] + page[1060:], hole_offset=60, hole_length=1000, image_flags=wal.APPLY | wal.HAS_HOLE)
+    got = load(spark, log(insert(10, 0, b"lost", offnum=9), wal.Record(replay.XLOG, 0xB0, 0, blocks=[ref]), insert(13, 0, b"after", offnum=8), delete(13, 0, offnum=1), end(10), end(11), end(12, False), end(13)))
+    assert values(replay.recovered(got)) == ["after", "alive", "frozen", "kept"]
+    assert {(r.offnum, r.state, r.target) for r in blocks_of.chain(replay.redo_pages(got)).collect()} == {(2, "dead", 0), (4, "redirect", 1)}
+
+
+def test_prune_vacuum_visible(spark):
+    prune = wal.Record(replay.HEAP2, 0x10, 9, struct.pack("<IHH", 0, 1, 1), [wal.Block(0, 1, 0, data=struct.pack("<HHH", 1, 4, 2))])
+    vacuum = wal.Record(replay.HEAP2, 0x20, 9, struct.pack("<HHH", 2, 3, 7), [wal.Block(0, 1, 0)])
+    seen = wal.Record(replay.HEAP2, 0x40, 9, blocks=[wal.Block(0, 1, 0)])
+    noop = [wal.Record(replay.HEAP2, op, 9, blocks=[wal.Block(0, 1, 0)]) for op in (0x00, 0x30, 0x60, 0x70)]
+    got = load(spark, log(*(insert(10, 0, bytes([96 + k]), offnum=k) for k in range(1, 5)), end(10), prune, vacuum, seen, *noop))
+    assert values(replay.recovered(got)) == ["d"]
+    page = replay.redo_pages(got.unionByName(got)).first()
+    assert page.all_visible and {(x.offnum, x.state, x.target) for x in page["items"] if x.tuple is None} == {(1, pages.REDIRECT, 4), (2, pages.DEAD, 0), (3, pages.DEAD, 0), (7, pages.DEAD, 0)}
+    assert page.page_lsn == got.where("rmgr_id = 9 and info = 64").first().lsn
+
+
+def test_index_records(spark):
+    put = lambda number, key, op=0x00, block=0: wal.Record(replay.BTREE, op, 9, struct.pack("<H", number), [wal.Block(0, 5, block, data=pages.entry(key))])
+    root = wal.Block(0, 5, 3, image=pages.image_of([pages.entry(b"m")], level=1), image_flags=wal.APPLY)
+    split = wal.Record(replay.BTREE, 0x50, 9, struct.pack("<IHHH", 0, 3, 0, 0), [wal.Block(0, 5, 0), wal.Block(1, 5, 1, data=pages.entry(b"x") + pages.entry(b"y") + b"\1\2")])
+    got = load(spark, log(put(1, b"b", 0x08), put(1, b"a"), put(3, b"c", 0xF0), put(2, b"ab", 0x20), put(1, b"up", 0x18, 2), split, wal.Record(replay.BTREE, 0xC0, 9, blocks=[root]), wal.Record(replay.BTREE, 0x70, 9, blocks=[wal.Block(0, 5, 0)])))
+    rows = blocks_of.entries_of(replay.redo_pages(got)).orderBy("block", "offnum").collect()
+    assert [(r.block, r.level, r.leaf, r.before, bytes(r.key)) for r in rows] == [
+        (0, 0, True, None, b"a"), (0, 0, True, None, b"ab"), (0, 0, True, None, b"b"), (0, 0, True, None, b"c"), (1, 0, True, 0, b"x"), (1, 0, True, 0, b"y"), (2, 1, False, None, b"up"), (3, 1, False, None, b"m"),
+    ]
+
+
+def test_registered_manager(spark):
+    def count(page, record):
+        page.items[len(page.items) + 1] = pages.Item(pages.NORMAL, record["main_data"], record["xid"])
+
+    registry = replay.registered(77, replay.Manager("Counter", 0xF0, {0x10: "TICK"}, count))
+    got = load(spark, log(insert(10, 0, b"a"), *(wal.Record(77, 0x10, 5, b"t%d" % k, [wal.Block(0, 2, 0)]) for k in range(3)), wal.Record(78, 0, 5)))
+    assert {(r.rmgr, r.op, r.applied, r.skip_reason) for r in replay.described(got, registry).collect()} == {("Heap", "INSERT", True, None), ("Counter", "TICK", True, None), ("Rmgr(78)", "op=0x00", False, "unknown")}
+    assert sorted(bytes(r.tuple) for r in replay.redo(got, registry).where("rel = 2").collect()) == [b"t0", b"t1", b"t2"]
+    assert replay.redo(got).where("rel = 2").count() == 0
+    with pytest.raises(ValueError, match="taken"):
+        replay.registered(replay.HEAP, replay.Manager("again"))
+
+
+def test_checksums():
+    data = [bytes((k * j) % 256 for j in range(n)) for k, n in enumerate([0, 1, 3, 4, 5, 20, 21, 8192, *([40, 55, 63] * 30), *([700] * 40)])]
+    assert wal.checksums(data) == [wal.crc32c(x) for x in data]
+
+
+def test_only_files_in_range_are_read(spark):
+    segments = log(*(insert(5, k, b"v" * 2000) for k in range(150)))
+    names = [n for n, _ in segments.files()]
+    folder = work_path(spark, "wal")
+    wal.write_segments(spark, segments, folder)
+    read = wal.read_log(spark, folder, size=SIZE, start=SIZE, end=2 * SIZE)
+    assert len(names) > 3 and [x.rpartition("/")[2] for x in read.inputFiles()] == [names[1]]
+    assert read.count() > 10 and wal.read_log(spark, folder, size=SIZE, start=100 * SIZE).count() == 0
+
+
+def test_long_transactions_are_split(spark):
+    """Ends and numbers are the same however long the stretches are that are ordered together."""
+    random.seed(5)
+    rows = [(random.randint(1, 5), 8 * k, random.choices(["INSERT", "DELETE", "UPDATE", "COMMIT", "ABORT"], [30, 20, 20, 2, 1])[0]) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "xid long, lsn long, op string")
+    whole = sorted(map(tuple, replay.decoded(frame).select("xid", "commit_lsn", "lsn", "op", "seq").collect()))
+    assert whole == sorted(map(tuple, replay.decoded(frame, 64).select("xid", "commit_lsn", "lsn", "op", "seq").collect())) and len(whole) > 1000
+    assert sorted(map(tuple, replay.pending(frame).collect()))
+
+
+def test_delivered(spark):
+    """A user's function gets each batch of committed changes in order."""
+    source, folder = work_path(spark, "log"), work_path(spark, "state")
+    rows = [(1, 8, "INSERT"), (2, 16, "INSERT"), (1, 24, "DELETE"), (1, 32, "COMMIT"), (2, 40, "ABORT"), (3, 48, "UPDATE"), (3, 56, "COMMIT")]
+    spark.createDataFrame(rows, "xid long, lsn long, op string").coalesce(1).write.parquet(source)
+    seen = []
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        decode.delivered(spark.readStream.schema("xid long, lsn long, op string").parquet(source), lambda batch, number: seen.extend((number, *r) for r in batch.collect()), folder).awaitTermination()
+    finally:
+        spark.conf.unset(provider)
+    assert seen == [(0, 1, 32, 8, "INSERT", 1), (0, 1, 32, 24, "DELETE", 2), (0, 3, 56, 48, "UPDATE", 1)]
 
 
 def test_image_replaces_what_its_block_held(spark):
