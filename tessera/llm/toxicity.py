@@ -24,10 +24,10 @@ IDENTITY = {
 }
 KIND_OF = {term: kind for kind, terms in IDENTITY.items() for term in terms}
 #: Bounds of the labelled sample the classifier is fitted on, of its features, and their rarity.
-SAMPLE_PER_CLASS, FEATURES, LEAST_DOCS = 3000, 2000, 3
+SAMPLE_PER_CLASS, FEATURES, LEAST_DOCS = 3000, 3000, 3
 #: Lengths of the word beginnings that count as features beside whole words.
 STEMS = (3, 4, 5, 6)
-L2, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 200
+L2, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 400
 
 
 def words_of(text: str | None) -> set[str]:
@@ -131,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 
 def scored(docs: DataFrame, model: Model, *, column: str = "text") -> DataFrame:
-    """`docs` with the columns score and predicted; null and empty texts get the score of no words."""
+    """`docs` with the columns score and predicted, which take the place of such columns in `docs`; null
+    and empty texts get the score of no words, equal texts equal scores, an empty table no rows."""
     target = arrow_schema(docs.sparkSession, "score double, predicted int")
     names = [c for c in docs.columns if c not in target.names]
 
@@ -146,6 +147,8 @@ def scored(docs: DataFrame, model: Model, *, column: str = "text") -> DataFrame:
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """The score of every document. Null, empty and very long texts, repeated rows, null and repeated
+    labels, one class only, empty tables, further columns: see `train` and `scored`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
