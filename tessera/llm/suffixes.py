@@ -502,7 +502,8 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Null texts are empty. Rows that repeat a doc_id, or have none, stand in order of text, null ids
-    last; a copy of a row is repeated by the first.
+    last; a copy of a row is repeated by the first. An empty table gives no rows; columns other than
+    doc_id and text don't matter.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
@@ -534,4 +535,6 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What of every document is repeated. Null, empty and very long texts, repeated rows and ids, null
+    ids, empty tables, further columns: see `deduplicated`."""
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
