@@ -1,7 +1,6 @@
 """Personal data: pattern spans, and terms that disclose a protected entity by co-occurrence.
 
-Entities are met by value, and by what several values share: the domain of an email, the network of
-an ip, the issuer of a card, the area of a phone. A term that tells too much of an entity of its text
+Entities are met by value, and emails by their domain as well. A term that tells too much of an entity of its text
 is generalised to its beginning if that is told by enough other words, and otherwise removed.
 Everything here is DataFrame and SQL functions.
 """
@@ -137,13 +136,11 @@ def bands(hashes: Column) -> Column:
 
 
 def entities_of(x: Column) -> Column:
-    """The entities that a span stands for: its value, and what it shares with others of its kind."""
-    value, kind = F.lower(x["v"]), x["k"].cast("string")
-    wide = (
-        F.when(x["k"] == KINDS.index("email"), F.substring_index(value, "@", -1)).when(x["k"] == KINDS.index("ip"), F.substring_index(value, ".", 2))
-        .when(x["k"] == KINDS.index("card"), F.substring(digits(value), 1, 6)).otherwise(F.substring(digits(value), 1, 4))
-    )
-    return F.array(F.concat(kind, F.lit(":"), value), F.concat(kind, F.lit("~"), wide))
+    """The entities that a span stands for: its value, and of an email the domain as well. What other
+    kinds share (a network, an issuer, an area) names nobody."""
+    value = F.concat(x["k"].cast("string"), F.lit(":"), F.lower(x["v"]))
+    domain = F.concat(F.lit("@"), F.substring_index(F.lower(x["v"]), "@", -1))
+    return F.when(x["k"] == KINDS.index("email"), F.array(value, domain)).otherwise(F.array(value))
 
 
 def supported(protected: DataFrame, entities: DataFrame, support: int) -> DataFrame:
@@ -152,8 +149,9 @@ def supported(protected: DataFrame, entities: DataFrame, support: int) -> DataFr
     often = entities.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("entity")
     met = written(entities.join(often, "entity").withColumn("node", F.xxhash64("entity", "__h1", "__h2")), "met")
     hashes = protected.join(met.select("__h1", "__h2").distinct(), ["__h1", "__h2"]).select("__h1", "__h2", triples(F.col("__text")).alias("hashes"))
-    # written, so that no lambda takes the triples anew
-    keys = written(hashes, "triples").select("__h1", "__h2", bands(F.col("hashes")).alias("bands"))
+    # written, so that no lambda takes the triples anew; in many parts, since the bands are the costly step
+    parts = int(protected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = written(hashes.repartition(parts, "__h1"), "triples").select("__h1", "__h2", bands(F.col("hashes")).alias("bands"))
     rows = written(keys, "bands").select("__h1", "__h2", F.posexplode("bands").alias("part", "key")).join(met, ["__h1", "__h2"]).select("entity", "part", "key", "node")
     least = rows.groupBy("entity", "part", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = connected_components(rows.join(least, ["entity", "part", "key"]).select(F.col("node").alias("a"), "b"))
@@ -190,15 +188,17 @@ def disclosing(texts: DataFrame, support: int = SUPPORT, share: float = SHARE) -
     chosen = written(supported(protected, written(each.distinct(), "entities"), support), "entities")
     if chosen.isEmpty():
         return None
-    n_e = chosen.groupBy("entity").agg(F.count_distinct("one").alias("n_e"))
-    held = protected.join(chosen.select("__h1", "__h2").distinct(), ["__h1", "__h2"]).select("__h1", "__h2", F.explode(terms_of(masked(F.col("__text")))).alias("term"))
-    held = written(held, "terms")
-    pairs = held.join(chosen, ["__h1", "__h2"]).groupBy("entity", "term").agg(F.count_distinct("one").alias("n_te"), F.count("*").alias("raw")).where(F.col("n_te") >= support)
     total = texts.select(*text_key()).distinct().count()
-    # a pair needs n_t <= n_te (N / n_e) ** (1 - share); protected texts alone show that most terms are met too often
-    least = protected.select(F.explode(terms_of(masked(F.col("__text")))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    pairs = pairs.join(n_e, "entity").join(least, "term").where(f"n_e < {total} and least - raw + n_te <= 1.000001 * n_te * pow({total} / cast(n_e as double), 1 - {share})").drop("least")
-    pairs = written(pairs, "pairs")
+    n_e = chosen.groupBy("entity").agg(F.count_distinct("one").alias("n_e"), F.count("*").alias("texts")).where(F.col("n_e") < total)
+    # a pair needs n_t - raw + n_te <= n_te (N / n_e) ** (1 - share); protected texts alone show that most terms are met too often
+    room = f"1.000001 * pow({total} / cast(n_e as double), 1 - {share})"
+    marked = chosen.join(n_e.select("entity", "n_e", F.expr(f"texts + ({room} - 1) * n_e").alias("most")), "entity")
+    words = written(protected.select("__h1", "__h2", F.explode(terms_of(masked(F.col("__text")))).alias("term")), "terms")
+    least = words.groupBy("term").agg(F.count("*").alias("least")).where(F.col("least") >= support)
+    held = words.join(least, "term").alias("w").join(marked.alias("m"), F.expr("w.__h1 = m.__h1 and w.__h2 = m.__h2 and w.least <= m.most")).select("w.__h1", "w.__h2", "term", "entity", "one", "n_e", "least")
+    held = written(held, "held")
+    pairs = held.groupBy("entity", "term", "n_e", "least").agg(F.count_distinct("one").alias("n_te"), F.count("*").alias("raw")).where(F.col("n_te") >= support)
+    pairs = written(pairs.where(f"least - raw + n_te <= n_te * {room}").drop("least"), "pairs")
     if pairs.isEmpty():
         return None
     tells = f"ln({total} * cast({{0}} as double) / ({{1}} - raw + {{0}}) / n_e) >= {share} * ln({total} / cast(n_e as double))"
@@ -207,11 +207,12 @@ def disclosing(texts: DataFrame, support: int = SUPPORT, share: float = SHARE) -
     if told.isEmpty():
         return None
     starts = told.select("entity", "start").distinct()
-    mine = held.select("__h1", "__h2", F.substring("term", 1, LETTERS).alias("start")).distinct().join(chosen, ["__h1", "__h2"]).join(starts, ["entity", "start"])
+    begun = words.select("__h1", "__h2", F.substring("term", 1, LETTERS).alias("start")).join(starts.select("start").distinct(), "start", "left_semi").distinct()
+    mine = begun.join(chosen.join(starts.select("entity").distinct(), "entity", "left_semi"), ["__h1", "__h2"]).join(starts, ["entity", "start"])
     n_se = mine.groupBy("entity", "start").agg(F.count_distinct("one").alias("n_se"), F.count("*").alias("raw"))
     n_s = counted(texts, told.select("start").distinct(), beginnings, "start")
     shown = told.join(n_se, ["entity", "start"]).join(n_s, "start").select("entity", "term", F.expr(tells.format("n_se", "n_start")).alias("closed"))
-    hits = held.join(chosen, ["__h1", "__h2"]).join(shown, ["entity", "term"]).groupBy("__h1", "__h2", "term").agg(F.bool_or("closed").alias("closed"))
+    hits = held.join(shown, ["entity", "term"]).groupBy("__h1", "__h2", "term").agg(F.bool_or("closed").alias("closed"))
     stand = F.when(F.col("closed"), "<TERM>").otherwise(F.concat(F.substring("term", 1, LETTERS), F.lit("*")))
     pair = F.struct("term", stand.alias("shown"))
     return written(hits.groupBy("__h1", "__h2").agg(F.sort_array(F.collect_list(pair)).alias("terms")), "disclosing")  # a text's own terms
