@@ -207,8 +207,10 @@ def disclosing(texts: DataFrame, support: int = SUPPORT, share: float = SHARE) -
     if told.isEmpty():
         return None
     starts = told.select("entity", "start").distinct()
-    begun = words.select("__h1", "__h2", F.substring("term", 1, LETTERS).alias("start")).join(starts.select("start").distinct(), "start", "left_semi").distinct()
-    mine = begun.join(chosen.join(starts.select("entity").distinct(), "entity", "left_semi"), ["__h1", "__h2"]).join(starts, ["entity", "start"])
+    # only the words of texts with a told entity are looked at
+    theirs = written(chosen.join(starts.select("entity").distinct(), "entity", "left_semi"), "theirs")
+    begun = words.join(theirs.select("__h1", "__h2").distinct(), ["__h1", "__h2"], "left_semi").select("__h1", "__h2", F.substring("term", 1, LETTERS).alias("start")).distinct()
+    mine = begun.join(theirs, ["__h1", "__h2"]).join(starts, ["entity", "start"])
     n_se = mine.groupBy("entity", "start").agg(F.count_distinct("one").alias("n_se"), F.count("*").alias("raw"))
     n_s = counted(texts, told.select("start").distinct(), beginnings, "start")
     shown = told.join(n_se, ["entity", "start"]).join(n_s, "start").select("entity", "term", F.expr(tells.format("n_se", "n_start")).alias("closed"))
