@@ -31,7 +31,7 @@ SHORT_FORMS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 #: Characters of a text taken in at a time, and of a piece in one step of the transducer.
 CHUNK, PORTION = 1 << 16, 8
 #: Steps that are remembered.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Bits of a token id, and of a rule the part that is one; no rule; bytes up to which a list beats a heap.
 RESULT_BITS, RESULT, NONE, SHORT = 32, (1 << 32) - 1, 1 << 62, 48
 
@@ -192,18 +192,17 @@ class Steps(dict):
 
 
 class Whole(dict):
-    """Packed ids of pieces from their first to their last portion; only those of one are kept, and
-    here alone."""
+    """Packed ids of pieces from their first to their last portion; only those of one are kept."""
 
     def __init__(self, steps: Steps):
         self.steps = steps
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > PORTION:
-            return self.steps.run(b"", piece, True)[0]
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[piece] = got = packed(self.steps.v.settled(piece.encode("utf-8", "surrogatepass"), True)[0])
+        got, _ = self.steps.run(b"", piece, True)
+        if len(piece) <= PORTION:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = got
         return got
 
 

@@ -60,7 +60,6 @@ def mapped(df: DataFrame, row: Callable, schema: str, *, flat: bool = False) ->
                 values = zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True)
                 out = [y for x in values for y in row(*x)] if flat else [row(*x) for x in values]
                 yield from batches_of(out, target)
-        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)
 
