@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_BYTES, mapped, written
+from tessera.llm.common import BROADCAST_BYTES, arrow_schema, mapped, written
 
 #: Words in a block, output shards, rounds of the permutation, parts of a source's word count.
 BLOCK, SHARDS, ROUNDS, PARTS = 64, 64, 16, 1024
@@ -89,11 +89,17 @@ def placed(rows: DataFrame) -> DataFrame:
     return joined.select("key", "doc_id", "source", "size", (F.col("offset") + F.col("inside")).alias("start"))
 
 
+def tabled(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's rows by way of Arrow: from a list of rows Spark starts Python workers of another kind, which stay."""
+    target = arrow_schema(spark, schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(target)], schema=target))
+
+
 def slots(spark, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
     """(idx, block, shards): the shards that each drawn block goes to, at most MOST. plan: source, its
     blocks, shard, first slot and slots. Slot k of a source is block permutation(k mod n) of pass k div n."""
     piece, tasks = 1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = spark.createDataFrame(plan, "idx int, n long, shard int, start long, count long")
+    ranges = tabled(spark, plan, "idx int, n long, shard int, start long, count long")
     ranges = ranges.select("idx", "n", "shard", F.explode(F.expr(f"transform(sequence(0L, (count - 1) div {piece}), i -> struct(start + i * {piece} as a, start + least(count, (i + 1) * {piece}) as b))")).alias("r")).select("idx", "n", "shard", "r.a", "r.b").repartition(tasks, "idx", "a")
     schema = pa.schema([("idx", pa.int32()), ("block", pa.int64()), ("shard", pa.int32())])
 
@@ -131,7 +137,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, percent: int = PERCENT, shards: in
     counts = drawn(quota, shards, zlib.crc32(repr((sizes, seed)).encode()))
     first = np.cumsum(counts, 0) - counts
     plan = [(int(i), blocks[i], int(j), int(first[j, i]), int(counts[j, i])) for j, i in zip(*counts.nonzero(), strict=True)]
-    table = spark.createDataFrame([(i, None if null else s, n, g) for i, ((null, s, n), g) in enumerate(zip(order, goal, strict=True))], "idx int, s string, source_size long, target double")
+    table = tabled(spark, [(i, None if null else s, n, g) for i, ((null, s, n), g) in enumerate(zip(order, goal, strict=True))], "idx int, s string, source_size long, target double")
     if sum(len(x[1]) + 32 for x in order) <= BROADCAST_BYTES:  # a row a source
         table = F.broadcast(table)
     whole = written(placed(rows).join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "places")
