@@ -142,7 +142,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, percent: int = PERCENT, shards: in
         table = F.broadcast(table)
     whole = written(placed(rows).join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "places")
     cut = whole.where("size > 0").select("idx", "start", "size", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("block"))
-    cut = cut.join(slots(spark, plan), ["idx", "block"])
+    cut = cut.join(slots(spark, plan).hint("merge"), ["idx", "block"])  # a row a block: Spark takes its size for that of the plan, and would broadcast it
     low, high = F.greatest("start", F.col("block") * BLOCK), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
     return whole, cut.select("idx", "start", (low - F.col("start")).alias("first"), (high - F.col("start")).alias("last"), "shards")
 

@@ -563,6 +563,14 @@ def test_mixing_plain(spark):
     assert by == {r[0]: r[4] for r in first if r[4]}
 
 
+def test_mixing_blocks_stay_off_the_driver(spark):
+    """The drawn blocks, a row for each 64 words of the input, are never broadcast."""
+    _, parts = mixing.mixture(spark.read.parquet(f"{SF}/documents.parquet"))
+    parts.collect()
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_mixing_odd(odd, empty):
     rows = mixing.taken(odd).collect()
     assert sorted(((r.doc_id, r.size) for r in rows), key=repr) == sorted(((i, brute.quality_counts(t)[0]) for i, t in odd_rows()), key=repr)
