@@ -66,11 +66,20 @@ def in_first_seen_order(df: DataFrame, keys: list[str], position: Column, *aggre
     return df.groupBy(*keys).agg(*aggregates, F.min(position).alias("__first")).orderBy("__first").drop("__first")
 
 
+def wrapped(value: Column) -> Column:
+    """A whole decimal number as 64 bits, by wrapping."""
+    half, whole = F.lit("9223372036854775808").cast("decimal(38,0)"), F.lit("18446744073709551616").cast("decimal(38,0)")
+    return (F.pmod(value.cast("decimal(38,0)") + half, whole) - half).cast("long")
+
+
+def wrapped_product(a: Column, b: Column) -> Column:
+    """A 64-bit product of two 64-bit numbers that wraps instead of raising."""
+    return wrapped(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"))
+
+
 def wrapped_sum(value: Column) -> Column:
     """A 64-bit sum that wraps instead of raising."""
-    half, whole = F.lit("9223372036854775808").cast("decimal(38,0)"), F.lit("18446744073709551616").cast("decimal(38,0)")
-    total = F.sum(value.cast("decimal(19,0)")).cast("decimal(38,0)")
-    return (F.pmod(total + half, whole) - half).cast("long")
+    return wrapped(F.sum(value.cast("decimal(19,0)")))
 
 
 def ordered(df: DataFrame, *keys: Column | str, ties: list[Column | str]) -> DataFrame:

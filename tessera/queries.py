@@ -159,7 +159,7 @@ def agg_first_seen(spark, d):
 @query("""select l_linestatus, cast(case when m >= 9223372036854775808::hugeint then m - 18446744073709551616::hugeint else m end as bigint) as total from (
   select l_linestatus, ((sum(cast(l_orderkey as hugeint) * 4000000000000) % 18446744073709551616::hugeint) + 18446744073709551616::hugeint) % 18446744073709551616::hugeint as m from lineitem group by l_linestatus) x""")
 def agg_wrapped_sum(spark, d):
-    return relational.group(table(spark, d, "lineitem"), ["l_linestatus"], relational.wrapped_sum(F.col("l_orderkey") * F.lit(4_000_000_000_000)).alias("total"))
+    return relational.group(table(spark, d, "lineitem"), ["l_linestatus"], relational.wrapped_sum(relational.wrapped_product(F.col("l_orderkey"), F.lit(4_000_000_000_000))).alias("total"))
 
 
 @query("select c_nationkey, cast(bit_xor(c_custkey) as bigint) as mixed from customer group by c_nationkey")

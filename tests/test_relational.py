@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.functions import bytes as raw
 from tessera.functions import lsn
 from tessera.operators import relational as R
@@ -63,6 +64,18 @@ def test_sum_overflow(spark):
         big.agg(F.sum("x")).collect()
 
 
+def test_product_overflow(spark, tmp_path):
+    """Products beyond 64 bits wrap as well, at the ends of the range and in the query over large keys."""
+    ends = [-(2**63), -(2**63) + 1, -3, -1, 0, 1, 7, 2**32, 2**63 - 1]
+    pairs = spark.createDataFrame([(a, b) for a in ends for b in ends], "a long, b long")
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    assert {tuple(r) for r in pairs.select("a", "b", R.wrapped_product(F.col("a"), F.col("b"))).collect()} == {(a, b, wrap(a * b)) for a in ends for b in ends}
+    keys = [9_000_000, 2_305_843, 2_305_844, -9_000_000, 5, 2**62]
+    spark.createDataFrame([(k, "OF"[k % 2]) for k in keys], "l_orderkey long, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(s, wrap(sum(k * 4_000_000_000_000 for k in keys if "OF"[k % 2] == s))) for s in "OF"}
+    assert {tuple(r) for r in queries.agg_wrapped_sum(spark, str(tmp_path)).collect()} == want
+
+
 @pytest.mark.parametrize(("strategy", "node"), [("hash", "ShuffledHashJoin"), ("merge", "SortMergeJoin"), ("nested_loop", "CartesianProduct"), ("auto", None)])
 def test_join_strategies(spark, orders, customers, strategy, node):
     joined = R.join(orders(90), customers, "customer_id", strategy)
