@@ -410,13 +410,15 @@ def logical_pending(spark, d):
 def logical_stream(spark, d):
     """The same changes from a stream that takes in one file of the log at a time."""
     source, out, state = (work_path(spark, x) for x in ("log", "changes", "state"))
-    log = _log(spark, d)
+    log, cut = _log(spark, d), work_path(spark, "stretches")
     low, last = log.agg(F.min("lsn"), F.max("lsn")).first()
-    for at in range(low or 0, (last or 0) + 1, 1 << 20):  # in log order, one file for each stretch of the log
-        log.where(F.col("lsn").between(at, at + (1 << 20) - 1)).coalesce(1).write.mode("append").parquet(source)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
+    log.withColumn("stretch", F.expr(f"(lsn - {low or 0}) div {1 << 20}")).write.partitionBy("stretch").parquet(cut)  # the table is read once, not once a stretch
+    for at in range(1 if last is None else (last - low >> 20) + 1):  # in log order, one file for each stretch of the log
+        spark.read.schema(f"{log._jdf.schema().toDDL()}, stretch long").parquet(cut).where(F.col("stretch") == at).select(*log.columns).coalesce(1).write.mode("append").parquet(source)
+    provider, width = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before, wide = spark.conf.get(provider, None), spark.conf.get(width)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(width, min(int(wide), spark.sparkContext.defaultParallelism))  # each part has a store that every batch opens and commits
     try:
         stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
         run = decode.decoded(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
@@ -426,6 +428,7 @@ def logical_stream(spark, d):
             spark.conf.unset(provider)
         else:
             spark.conf.set(provider, before)
+        spark.conf.set(width, wide)
     return spark.read.schema(decode.OUTPUT).parquet(out)
 
 

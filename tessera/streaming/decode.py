@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "xid long, commit_lsn long, lsn long, op string, seq long"
+ENDS = ("COMMIT", "ABORT")
 
 
 class Buffer(StatefulProcessor):
@@ -19,23 +19,25 @@ class Buffer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getListState("open", "lsn long, op string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("lsn")
-        held = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        out = []
-        for lsn, op in zip(new["lsn"], new["op"], strict=True):
-            if op in ("COMMIT", "ABORT"):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        new = sorted((r["lsn"], r["op"]) for r in rows)
+        ends = [k for k, (_, op) in enumerate(new) if op in ENDS]
+        if not ends:  # what is open already is neither read nor written again
+            self.open.appendList(new)
+            return
+        held = [tuple(x) for x in self.open.get()] if new[ends[0]][1] == "COMMIT" else []
+        for lsn, op in new:
+            if op in ENDS:
                 if op == "COMMIT":
-                    out += [(key[0], int(lsn), a, b, n) for n, (a, b) in enumerate(held, 1)]
+                    for n, (at, change) in enumerate(held, 1):
+                        yield Row(xid=key[0], commit_lsn=lsn, lsn=at, op=change, seq=n)
                 held = []
             else:
-                held.append((int(lsn), op))
+                held.append((lsn, op))
         if held:
             self.open.put(held)
         else:
             self.open.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["xid", "commit_lsn", "lsn", "op", "seq"])
 
     def close(self) -> None:
         pass
@@ -44,7 +46,7 @@ class Buffer(StatefulProcessor):
 def decoded(log: DataFrame) -> DataFrame:
     """A streaming log (xid, lsn, op) to committed changes. The state is one list an open
     transaction; with the RocksDB store it needs no memory of its own."""
-    return log.select("xid", "lsn", "op").groupBy("xid").transformWithStateInPandas(Buffer(), OUTPUT, "append", "none")
+    return log.select("xid", "lsn", "op").groupBy("xid").transformWithState(Buffer(), OUTPUT, "append", "none")
 
 
 def delivered(log: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -6,6 +6,7 @@ import struct
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera import queries
@@ -261,6 +262,52 @@ def test_stream_equals_batch(spark):
     assert key(queries.logical_stream) == key(queries.logical_decode)
 
 
+def test_stream_reads_state_only_at_ends():
+    """Rows without an end are appended to the state; what is open is read for a COMMIT and dropped for an ABORT."""
+
+    class State(list):
+        reads = writes = 0
+
+        def get(self):
+            self.reads += 1
+            return iter(list(self))
+
+        def appendList(self, rows):
+            self.writes += len(rows)
+            self += rows
+
+        def put(self, rows):
+            self.writes += len(rows)
+            self[:] = rows
+
+    state, buffer = State(), decode.Buffer()
+    buffer.open = state
+    run = lambda *rows: [tuple(r) for r in buffer.handleInputRows((7,), iter([Row(xid=7, lsn=a, op=b) for a, b in rows]), None)]
+    for k in range(100):
+        assert run((2 * k + 2, "UPDATE"), (2 * k + 1, "INSERT")) == []
+    assert (state.reads, state.writes, len(state)) == (0, 200, 200)
+    got = run((500, "INSERT"), (501, "COMMIT"), (502, "DELETE"))
+    assert got == [(7, 501, n, "INSERT" if n % 2 else "UPDATE", n) for n in range(1, 201)] + [(7, 501, 500, "INSERT", 201)]
+    assert state == [(502, "DELETE")] and run((503, "ABORT"), (504, "INSERT"), (505, "COMMIT")) == [(7, 505, 504, "INSERT", 1)]
+    assert state == [] and state.reads == 1
+
+
+def test_stream_by_few_stores(spark, tmp_path):
+    """However many shuffle partitions, each core has one store; the session's settings come back; an empty log gives no rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = [(k, k % 3, "click" if k % 5 else "purchase") for k in range(40)]
+        spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/a/events.parquet")
+        spark.createDataFrame([], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/b/events.parquet")
+        key = lambda q, d: sorted(map(tuple, q(spark, f"{tmp_path}/{d}").select("xid", "commit_lsn", "lsn", "op", "seq").collect()))
+        assert key(queries.logical_stream, "a") == key(queries.logical_decode, "a") != []
+        assert key(queries.logical_stream, "b") == []
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_command_line(spark):
     from tessera import __main__ as command
 
