@@ -1,6 +1,6 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-1. A host's reference tree unites its REFERENCE pages of least hash (fewer, if it has fewer), aligned by simple tree matching.
+1. A host's reference tree unites the different trees of all its pages, aligned by simple tree matching.
 2. Every page is aligned with its host's reference. Counts over all pages tell which nodes are on
    most pages with the same text (template) and where the text that varies lies (slots).
 3. The region is the part of the reference that holds the varying text; a page's article is what
@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_schema, batches_of, small_enough, written
@@ -50,10 +50,10 @@ OUTSIDE = BESIDE | frozenset(
 )
 TOKEN = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|(\Z)))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-#: Different pages that a host needs for a template, pages its reference is made of, and the part of
-#: the varying text that a node must hold for its siblings to be left out.
+#: Different pages that a host needs for a template, parts by hash in which its trees are united
+#: before these meet, and the part of the varying text that a node must hold for its siblings to be left out.
 LEAST_PAGES, REFERENCE, SHARE = 3, 16, 0.75
-#: Counted nodes that a task holds before it passes them on.
+#: Counted nodes or different trees that a task holds before it passes them on.
 HELD = 100_000
 
 
@@ -318,16 +318,23 @@ def read_tree(data: str) -> list[Tree]:
 
 def reference(pages: list[str]) -> Tree:
     """One tree for pages of a host, one after another."""
-    deep()
     held: Tree | None = None
     for page in pages:
-        m = Matching()
-        own = skeleton(parsed(page), m)
-        held = own if held is None else m.united(fresh(held), fresh(own))
-        held = fresh(held)
+        held = with_tree(held, shape(page))
     return held
 
 
+def shape(page: str) -> Tree:
+    deep()
+    return skeleton(parsed(page), Matching())
+
+
+def with_tree(held: Tree | None, own: Tree) -> Tree:
+    """The union of the trees before, and one more."""
+    deep()
+    return fresh(own) if held is None else fresh(Matching().united(fresh(held), fresh(own)))
+
+
 def fresh(tree: Tree) -> Tree:
     """A copy without page nodes and numbers."""
     return read_tree(written_tree(tree))[0]
@@ -507,30 +514,45 @@ def with_side(pages: DataFrame, side: DataFrame, width: int) -> DataFrame:
 
 
 def references(pages: DataFrame) -> DataFrame:
-    """(__of, tree, pages): the reference of each host (pages has __host and html), and the number of its different pages."""
-    marked = pages.select("__host", F.xxhash64("html").alias("__mark"))
-    each = marked.distinct()
-    chosen = each.withColumn("n", F.row_number().over(Window.partitionBy("__host").orderBy("__mark"))).where(F.col("n") <= REFERENCE)
-    chosen = written(chosen.select(F.col("__host").alias("__h"), F.col("__mark").alias("__m")), "reference-pages")
-    some = F.broadcast(chosen) if small_enough(chosen, F.length("__h") + 32) else chosen
-    mine = pages.withColumn("__mark", F.xxhash64("html")).join(some, (F.col("__host") == F.col("__h")) & (F.col("__mark") == F.col("__m")))
-    mine = mine.groupBy("__h", "__m").agg(F.min("html").alias("html"))  # REFERENCE rows a host
-    schema = "__of string, tree string"
+    """(__of, tree, pages): the reference of each host (pages has __host and html), and the number of its
+    different pages. Trees of all pages count, equal ones once; they are united in REFERENCE parts by
+    their hash, and these one after another, so the order of rows doesn't matter."""
+    schema = "host string, tree string"
     target = arrow_schema(pages.sparkSession, schema)
 
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[str, int]] = set()
+        for batch in batches:
+            out = []
+            for host, page in zip(*batch.columns, strict=True):
+                own = (host.as_py(), written_tree(shape(page.as_py())))
+                mark = (own[0], digest(own[1]))
+                if mark not in met:
+                    met.add(mark)
+                    out.append(own)
+            if len(met) > HELD:
+                met.clear()  # equal trees meet again behind the shuffle
+            yield from batches_of(out, target)
+
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, own = None, []
+        last, held = None, None
         for batch in batches:
-            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if h != host:
-                    if own:
-                        yield from batches_of([(host, written_tree(reference(own)))], target)
-                    host, own = h, []
-                own.append(page)
-        if own:
-            yield from batches_of([(host, written_tree(reference(own)))], target)
-
-    trees = mine.repartition("__h").sortWithinPartitions("__h", "__m").select("__h", "html").mapInArrow(unite, schema)
+            for host, part, tree in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (host, part) != last:
+                    if held:
+                        yield from batches_of([(last[0], written_tree(held))], target)
+                    last, held = (host, part), None
+                held = with_tree(held, read_tree(tree)[0])
+        if held:
+            yield from batches_of([(last[0], written_tree(held))], target)
+
+    def united(rows: DataFrame, part: Column) -> DataFrame:
+        rows = rows.select("host", part.alias("part"), "tree").repartition("host", "part")
+        return rows.sortWithinPartitions("host", "part", F.xxhash64("tree"), "tree").select("host", "part", "tree").mapInArrow(unite, schema)
+
+    own = written(pages.select("__host", "html").mapInArrow(shapes, schema).distinct(), "trees")
+    trees = united(united(own, F.pmod(F.xxhash64("tree"), F.lit(REFERENCE)).cast("int")), F.lit(0)).withColumnRenamed("host", "__of")
+    each = pages.select("__host", F.xxhash64("html").alias("__mark")).distinct()
     several = each.groupBy("__host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     return trees.join(several, F.col("__of") == F.col("__host")).select("__of", "tree", "pages")
 

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tessera.llm import html
@@ -95,6 +96,19 @@ def induced(pages):
     return nodes, html.template(nodes, counts, counts[0][0])
 
 
+def test_references_of_all_pages(spark):
+    """Parts that stand on a few of many pages only, whatever their hash, are in the host's reference."""
+    body = "<body><div class=top>Site</div><div class=text><p>Words {0}.</p></div>{1}</body>"
+    rows = [("h", body.format(k, f"<div class=rare{k}>Rare {k}</div>" if k % 10 == 0 else "")) for k in range(400)] + [("g", body.format(k, "")) for k in range(2)] + [("h", body.format(3, ""))]
+    pages = spark.createDataFrame(rows, "__host string, html string")
+    got = {r["__of"]: r for r in html.references(pages).collect()}
+    labels = [x.label for x in html.read_tree(got["h"].tree)]
+    assert set(got) == {"h"} and got["h"].pages == 400
+    assert {x for x in labels if "rare" in x} == {f"div.rare{k}" for k in range(0, 400, 10)} and len(labels) == len(set(labels))
+    again = html.references(pages.orderBy(F.rand(3)).repartition(7)).collect()
+    assert [tuple(r) for r in again] == [tuple(got["h"])]
+
+
 def test_names_do_not_decide():
     kept = ["social-history", "side-effects", "related-work", "with-sidebar", "no-sidebar", "ad-free", "article-header"]
     page = "<article>" + "".join(f"<section class='{k}'><p>Text of {k}.</p></section>" for k in kept) + "<section id='legal-basis'>Basis.</section></article>"
