@@ -452,11 +452,10 @@ def verified(texts: DataFrame, similarity: float) -> DataFrame:
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of `docs` for each group of near copies, the one with the smallest doc_id. Texts are
     near copies if their sets of five-word shingles have a Jaccard similarity of `similarity` or more.
-    So many bits of a SimHash may differ at that similarity that no Gray-ordered index prunes; its
-    sketches rule out candidates instead.
-
-    Candidates share a band, and their sketches are near enough not to rule the similarity out. The
-    sets themselves decide, within each component of candidates.
+    Candidates are what the fingerprints link, found exactly by the Gray-ordered search (`components`).
+    So many bits of a SimHash may differ at the similarity that no such index prunes there; further
+    candidates share a band, and their sketches are near enough not to rule the similarity out. The
+    sets themselves decide, within each component of all candidates.
 
     Rows with a null doc_id are kept, since no id can speak for them; null and empty texts are near
     copies of each other; rows that repeat a doc_id count as one group.
@@ -467,7 +466,10 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = written(mapped(own, lambda i, t: (i, *near_copy_keys(t)), schema), "signatures")
     classes = rows.groupBy("code", *sketch, "total", "bands").agg(F.min("node").alias("node"))
     keys = classes.select("node", *sketch, F.posexplode("bands").alias("part", "key"))
-    loose = connected_components(banded(keys, bits_apart(similarity) + MARGIN)).select(F.col("node").alias("doc_id"), F.col("root").alias("part"))
+    near = components(own).join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    least = near.groupBy("component_id").agg(F.min("doc_id").alias("b"))  # of the classes' rows, which alone are compared
+    found = near.join(least, "component_id").select(F.col("doc_id").alias("a"), "b").where("a <> b")
+    loose = connected_components(found.unionByName(banded(keys, bits_apart(similarity) + MARGIN))).select(F.col("node").alias("doc_id"), F.col("root").alias("part"))
     if small_enough(loose, F.lit(48)):
         loose = F.broadcast(loose)
     members = written(verified(own.join(loose, "doc_id").select("part", F.col("doc_id").alias("node"), "text"), similarity), "near-copies")

@@ -616,6 +616,23 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.scored(empty, model).collect() == []
 
 
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """The Gray-ordered search of fingerprints finds candidates of its own, and the sets decide on them."""
+    monkeypatch.setattr(simhash, "banded", lambda rows, apart: rows.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
+    random.seed(13)
+    vocabulary = ["".join(random.choices("abcdefghij", k=6)) for _ in range(4000)]
+    rows = []
+    for k in range(0, 60, 3):
+        words = random.choices(vocabulary, k=3000)
+        rows += [(k, " ".join(words)), (k + 1, " ".join(["x", *words[1:]])), (k + 2, " ".join(words[:50] + words[1000:]))]
+    same = random.choices(vocabulary, k=5) * 40  # equal by most shingles, unlike as sets
+    rows += [(100 + k, " ".join(same + random.choices(vocabulary, k=60))) for k in range(2)]
+    link = {i: root for i, _, root in brute.hamming_components(rows)}
+    assert link[101] == 100 and sum(link[k + 1] == k for k in range(0, 60, 3)) > 10
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in rows if i >= 100 or i % 3 != 1 or link[i] == i}
+
+
 def test_near_copies_exact(spark):
     """Groups equal those of all pairs by exact similarity, also of short texts with a passage more or less."""
     random.seed(12)
