@@ -292,8 +292,8 @@ def test_stream_reads_state_only_at_ends():
     assert state == [] and state.reads == 1
 
 
-def test_stream_by_few_stores(spark, tmp_path):
-    """However many shuffle partitions, each core has one store; the session's settings come back; an empty log gives no rows."""
+def test_stream_settings_and_empty_log(spark, tmp_path):
+    """With more shuffle partitions than cores the rows are the same, and the session's settings come back; an empty log gives no rows."""
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "40")
     try:
