@@ -10,15 +10,20 @@ and a portion, however long a piece or text is.
 from __future__ import annotations
 
 import codecs
+import ctypes
+import gc
 import hashlib
 import heapq
 import json
+import threading
+import time
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -30,8 +35,8 @@ RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
 SHORT_FORMS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 #: Characters of a text taken in at a time, and of a piece in one step of the transducer.
 CHUNK, PORTION = 1 << 16, 8
-#: Steps that are remembered.
-REMEMBERED = 300_000
+#: Steps that are remembered, and as many short pieces; seconds without a text after which a worker forgets them.
+REMEMBERED, IDLE = 300_000, 3
 #: Bits of a token id, and of a rule the part that is one; no rule; bytes up to which a list beats a heap.
 RESULT_BITS, RESULT, NONE, SHORT = 32, (1 << 32) - 1, 1 << 62, 48
 
@@ -192,17 +197,18 @@ class Steps(dict):
 
 
 class Whole(dict):
-    """Packed ids of pieces from their first to their last portion; only those of one are kept."""
+    """Packed ids of pieces from their first to their last portion; only those of one are kept, and
+    these here alone and not as a step as well."""
 
     def __init__(self, steps: Steps):
         self.steps = steps
 
     def __missing__(self, piece: str) -> bytes:
-        got, _ = self.steps.run(b"", piece, True)
-        if len(piece) <= PORTION:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = got
+        if len(piece) > PORTION:
+            return self.steps.run(b"", piece, True)[0]
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[piece] = got = packed(self.steps.v.merged(piece.encode("utf-8", "surrogatepass")))
         return got
 
 
@@ -313,10 +319,33 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(2)
+_used = {"at": 0.0}
+
+
 def remembered(path: str) -> Steps:
-    """One memory of steps a worker, whatever the number of its tasks."""
-    return Steps(vocabulary(path))
+    """One memory of steps a worker, whatever the number of its tasks. Workers outlive a stage, so
+    it goes once no text has come for IDLE seconds, with the vocabulary; who still holds it may go on."""
+    _used["at"] = time.monotonic()
+    return _steps(path)
+
+
+@lru_cache(2)
+def _steps(path: str) -> Steps:
+    steps = Steps(vocabulary(path))
+    _used["at"] = time.monotonic()  # the vocabulary takes a while to read
+    threading.Thread(target=_forget, daemon=True).start()
+    return steps
+
+
+def _forget() -> None:
+    while (left := _used["at"] + IDLE - time.monotonic()) > 0:
+        time.sleep(left)
+    _steps.cache_clear()
+    vocabulary.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc keeps what is freed
+        libc.malloc_trim(0)
 
 
 def encoded(v: Vocabulary, text: str | None, steps: Steps | None = None) -> Iterator[bytes]:
@@ -334,7 +363,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     and its ids never stand whole in memory."""
 
     def row(doc_id: int, text: str | None) -> tuple:
-        v, steps = vocabulary(path), remembered(path)
+        steps = remembered(path)
+        v = steps.v
         decoder, ids, plain, n = Decoder(v), hashlib.sha256(), hashlib.sha256(), 0
         for portion in encoded(v, text, steps):
             ids.update(portion)

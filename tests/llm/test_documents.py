@@ -4,6 +4,8 @@ import json
 import math
 import random
 import re
+import time
+import weakref
 import zlib
 
 import duckdb
@@ -438,6 +440,22 @@ def test_bpe_goes_by_its_lookahead(texts):
     assert steps.ahead > n / 200
 
 
+def test_bpe_forgets_when_idle(monkeypatch):
+    """A worker that gets no more texts gives its memory back; short pieces are remembered once."""
+    monkeypatch.setattr(bpe, "IDLE", 0.5)
+    path = bpe.default_path()
+    steps = bpe.remembered(path)
+    assert b"".join(bpe.encoded(steps.v, "a few short words", steps)) and steps.whole and not steps
+    assert bpe.remembered(path) is steps
+    held = weakref.ref(steps)
+    del steps
+    end = time.monotonic() + 20
+    while held() is not None and time.monotonic() < end:
+        time.sleep(0.1)
+    assert held() is None
+    assert len(bpe.remembered(path).v.tokens) > 256
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_bpe_lookahead_suffices(tmp_path, seed):
     """Any merge list: what goes out early is what merging the whole piece gives."""
